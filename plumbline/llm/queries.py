@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.bpe import op8_bpe
+from plumbline.llm.decontaminate import op4_decontamination
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_bpe": op8_bpe}
+    return {"op4_decontamination": op4_decontamination, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
