@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.bpe import op8_bpe
 from plumbline.llm.decontaminate import op4_decontamination
+from plumbline.llm.language import op7_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_decontamination": op4_decontamination, "op8_bpe": op8_bpe}
+    return {
+        "op4_decontamination": op4_decontamination,
+        "op7_language": op7_language,
+        "op8_bpe": op8_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
