@@ -116,20 +116,10 @@ class FMIndex:
         return self.stored[rows] + steps
 
 
-def words_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word of all texts: the number of its text, its start and end there, and its hash."""
-    points, begins = tn.join(texts)
-    points = tn.lowered(points)
-    kind = tn.kinds(points)
-    starts, ends = tn.runs((kind == tn.LETTER) | (kind == tn.NUMBER))
-    row = np.searchsorted(begins, starts, "right") - 1
-    return row, starts - begins[row], ends - begins[row], tn.Hasher(points)(starts, ends)
-
-
 def phrases_of(items: list[tuple[int, str]], words: int = WORDS, least: int = LEAST) -> dict:
     """What is searched for: the vocabulary's hashes in order, and for each length of phrase the distinct phrases and
     the pairs (phrase, item)."""
-    row, _, _, hashes = words_of([t for _, t in items])
+    row, _, _, hashes = tn.words([t for _, t in items])
     vocabulary = np.unique(hashes)
     ids = np.searchsorted(vocabulary, hashes) + 1
     edges = np.searchsorted(row, np.arange(len(items) + 1))
@@ -156,7 +146,7 @@ def find(texts: list, sought: dict) -> dict[int, tuple[list[tuple[int, int]], li
     shortest = min(by_length)
     kept: list[list[np.ndarray]] = [[], [], [], []]
     for a, b in chunked(texts):
-        row, starts, ends, hashes = words_of(texts[a:b])
+        row, starts, ends, hashes = tn.words(texts[a:b])
         at = np.searchsorted(vocabulary, hashes)
         at[at == len(vocabulary)] = 0
         known = vocabulary[at] == hashes
@@ -271,7 +261,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     merged.append((s, e))
             spans.append(merged)
-        count = [sum(len(words_of([t[s:e]])[0]) for s, e in x) for t, x in zip(texts, spans)]
+        count = [sum(len(tn.words([t[s:e]])[0]) for s, e in x) for t, x in zip(texts, spans)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),

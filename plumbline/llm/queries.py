@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.bpe import op8_bpe
 from plumbline.llm.decontaminate import op4_decontamination
 from plumbline.llm.language import op7_language
+from plumbline.llm.simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op7_language": op7_language,
         "op8_bpe": op8_bpe,
+        "op10_simhash": op10_simhash,
     }
 
 

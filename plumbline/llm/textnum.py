@@ -110,4 +110,14 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(shift, lengths) + np.arange(total)
 
 
+def words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words are runs of letters and digits in lower case. Of each: the number of its text, start, end, hash."""
+    points, begins = join(texts)
+    points = lowered(points)
+    kind = kinds(points)
+    starts, ends = runs((kind == LETTER) | (kind == NUMBER))
+    row = np.searchsorted(begins, starts, "right") - 1
+    return row, starts - begins[row], ends - begins[row], Hasher(points)(starts, ends)
+
+
 assert sys.byteorder == "little"
