@@ -10,6 +10,7 @@ from plumbline.llm.bpe import op8_bpe
 from plumbline.llm.decontaminate import op4_decontamination
 from plumbline.llm.language import op7_language
 from plumbline.llm.simhash import op10_simhash
+from plumbline.llm.spans import op9_spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op7_language": op7_language,
         "op8_bpe": op8_bpe,
+        "op9_spans": op9_spans,
         "op10_simhash": op10_simhash,
     }
 
