@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.bpe import op8_bpe
 from plumbline.llm.decontaminate import op4_decontamination
 from plumbline.llm.language import op7_language
+from plumbline.llm.linededup import op1_lines
 from plumbline.llm.simhash import op10_simhash
 from plumbline.llm.spans import op9_spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lines": op1_lines,
         "op4_decontamination": op4_decontamination,
         "op7_language": op7_language,
         "op8_bpe": op8_bpe,
