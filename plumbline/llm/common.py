@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters that the vectorised text passes hold at once; a longer text makes a chunk of its own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 #: The columns of the documents table, which every filtering stage returns.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -45,6 +45,13 @@ def chunked(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most, so that a worker holds the texts of few as Python strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

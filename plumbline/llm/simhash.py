@@ -3,7 +3,8 @@
 A signature has 128 bits: each the sign of a sum over the document's distinct words, weighted with the fourth root of
 their counts. Signatures within 2 m - 1 bits, cut into m segments, agree in some segment but for one bit at most. So each
 segment is indexed once for each of its bits, with that bit left out; equal variants join, and the full distance is
-verified. The search is exact: every pair within ``distance`` bits is found. Documents of equal signature take part
+verified. The variants are made after the exchange, which moves a signature once for each third of a segment. The search is
+exact: every pair within ``distance`` bits is found, once. Documents of equal signature take part
 once, by their least ``doc_id``; the pairs' connected components are the groups, whose least ``doc_id`` stays.
 
 Cases: a null or empty text, or one without a letter or digit, has no signature and is in no group; a null ``doc_id``
@@ -22,11 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, small, table
 from plumbline.llm.components import components
 
 BITS, DISTANCE = 128, 13
 
+#: Parts of a segment by which signatures are brought together, rows that are matched at once, and pairs verified at once.
+PARTS, MEETING, PAIRS = 3, 50_000, 500_000
+
 
 def signatures_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the texts that have words, and two 64-bit halves for each."""
@@ -56,7 +60,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, hi, lo) of the documents that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows, halves = signatures_of(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "hi", "lo"])
 
@@ -64,29 +68,95 @@ def signatures(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id bigint, hi bigint, lo bigint")
 
 
-def _masks(distance: int) -> list[tuple[int, int]]:
-    """For each bit: its segment's other bits, in both halves."""
-    edges = [round(k * BITS / (distance // 2 + 1)) for k in range(distance // 2 + 2)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    out = []
-    for a, b in zip(edges[:-1], edges[1:]):
-        for p in range(a, b):
-            mask = ((1 << b) - (1 << a)) & ~(1 << p)
-            out.append((signed(mask & ((1 << 64) - 1)), signed(mask >> 64)))
-    return out
+def _layout(distance: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """The parts of the segments as (segment, begin, end) in bits, and the segments' edges."""
+    n = distance // 2 + 1
+    edges = [round(k * BITS / n) for k in range(n + 1)]
+    parts = []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        inner = [a + round(j * (b - a) / PARTS) for j in range(PARTS + 1)]
+        parts += [(k, x, y) for x, y in zip(inner[:-1], inner[1:]) if x < y]
+    return parts, edges
+
+
+def _halves(mask: int) -> tuple[int, int]:
+    """A mask of BITS bits as the low and the high 64, in the order of the columns hi and lo of a signature."""
+    return mask & ((1 << 64) - 1), mask >> 64
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def near_signatures(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b), a < b: all pairs of ``distinct`` (id, hi, lo) within ``distance`` bits, each once."""
-    masks = _masks(distance)
-    hi, lo = (F.array(*(F.lit(m[k]) for m in masks)) for k in (0, 1))
-    bit = distinct.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))))
-    key = F.xxhash64("bit", F.col("hi").bitwiseAND(F.get(hi, "bit")), F.col("lo").bitwiseAND(F.get(lo, "bit")))
-    variants = bit.select(key.alias("key"), "id", "hi", "lo")
-    near = F.expr(f"x.id < y.id and bit_count(x.hi ^ y.hi) + bit_count(x.lo ^ y.lo) <= {distance}")
-    # the planner takes the variants for as small as the signatures, and would broadcast them
-    joined = variants.alias("x").hint("merge").join(variants.alias("y"), (F.col("x.key") == F.col("y.key")) & near)
-    return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    """(a, b), a < b: all pairs of ``distinct`` (id, hi, lo) within ``distance`` bits, each once.
+
+    A variant whose wildcard is in one part of a segment has the other parts unchanged, so signatures are brought together
+    by these: a row for each part, not for each bit. Where they meet, the variants are made, matched and verified.
+    """
+    parts, edges = _layout(distance)
+    fixed = [_halves(((1 << edges[k + 1]) - (1 << edges[k])) & ~((1 << b) - (1 << a))) for k, a, b in parts]
+    hi, lo = (F.array(*(F.lit(_signed(m[j])) for m in fixed)) for j in (0, 1))
+    routed = distinct.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))))
+    route = F.hash("part", F.col("hi").bitwiseAND(F.get(hi, "part")), F.col("lo").bitwiseAND(F.get(lo, "part")))
+    met = routed.select(route.alias("route"), F.col("part").cast("byte").alias("part"), "id", "hi", "lo").repartition("route").sortWithinPartitions("route")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            if sum(len(x[0]) for x in held) >= MEETING:
+                rows = [np.concatenate(x) for x in zip(*held)]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                held = [[x[last:] for x in rows]]
+                yield from _near([x[:last] for x in rows], parts, edges, distance)
+        if held:
+            yield from _near([np.concatenate(x) for x in zip(*held)], parts, edges, distance)
+
+    return met.mapInArrow(run, "a bigint, b bigint")
+
+
+def _near(rows: list[np.ndarray], parts: list[tuple[int, int, int]], edges: list[int], distance: int) -> Iterator[pa.RecordBatch]:
+    """The near pairs among rows of whole routes, each from the first segment that it agrees in but for one bit."""
+    route, part, ident = rows[0], rows[1].astype(np.int64), rows[2]
+    hi, lo = rows[3].view(np.uint64), rows[4].view(np.uint64)
+    segments = np.array([_halves((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:])], np.uint64)
+    segment_of, begin, end = (np.array(x) for x in zip(*parts))
+    for j in range(int((end - begin).max())):
+        wild = [_halves(1 << (a + j)) if a + j < b else (0, 0) for _, a, b in parts]
+        which = np.flatnonzero((begin + j < end)[part])
+        if len(which) < 2:
+            continue
+        masks = segments[segment_of] & ~np.array(wild, np.uint64)
+        p = part[which]
+        key = tn.mix(tn.mix(hi[which] & masks[p, 0], j) ^ (lo[which] & masks[p, 1]) ^ (p.astype(np.uint64) << np.uint64(56)))
+        order = np.argsort(key, kind="stable")
+        which, key = which[order], key[order]
+        # each row meets those after it in its run of equal keys
+        edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+        after = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(key)) - 1
+        upto, done = np.cumsum(after), 0
+        while done < len(key):
+            most = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS, "right")))
+            n = after[done:most]
+            x = np.repeat(which[done:most], n)
+            y = which[tn.gather(np.arange(done, most) + 1, n)]
+            done = most
+            dh, dl = hi[x] ^ hi[y], lo[x] ^ lo[y]
+            good = np.flatnonzero(np.bitwise_count(dh).astype(np.int64) + np.bitwise_count(dl) <= distance)
+            x, y, dh, dl = x[good], y[good], dh[good], dl[good]
+            k = segment_of[part[x]]
+            errors = np.bitwise_count(dh[:, None] & segments[:, 0]).astype(np.int64) + np.bitwise_count(dl[:, None] & segments[:, 1])
+            # the wildcard is the bit that differs, or the segment's first if none does
+            bit = begin[part[x]] + j
+            masks_of = np.array(wild, np.uint64)[part[x]]
+            differs = ((dh & masks_of[:, 0]) | (dl & masks_of[:, 1])) != 0
+            own = errors[np.arange(len(x)), k]
+            first = (errors <= 1).argmax(1) == k
+            keep = first & np.where(own == 0, bit == np.array(edges)[k], (own == 1) & differs) & (ident[x] != ident[y])
+            if keep.any():
+                a, b = ident[x[keep]], ident[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
