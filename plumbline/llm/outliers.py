@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, small, table
 
 PART, LEVEL, LEAST_ROWS, PRIOR, FLOOR, STILL, MOST_STEPS = 0.75, 0.9999, 50, 60, 0.03, 1e-3, 20
 
@@ -87,7 +87,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and COUNTS for each row of ``docs``. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             got = counts_of(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *(pa.array(got[:, k]) for k in range(len(COUNTS)))], [*keep, *COUNTS])
 
@@ -206,8 +206,8 @@ def estimates(points: DataFrame, part: float = PART) -> DataFrame:
 def scored(docs: DataFrame, keep: list[str], level: float = LEVEL, part: float = PART, least_rows: int = LEAST_ROWS) -> DataFrame:
     """``keep`` with ``distance``, squared, and ``rejected``, for each row of ``docs``."""
     own = list(dict.fromkeys([*keep, "lang", "source"]))
-    rows = cut(grouped(statistics(docs, own), least_rows))
-    points = vectors(rows, [*own, "solid"])
+    rows = grouped(cut(statistics(docs, own)), least_rows)
+    points = cut(vectors(rows, [*own, "solid"]))
     found = estimates(points.where("solid > 0").select("g", *X), part)
     d = _distance([F.get("m", F.lit(k)) for k in range(P)], [F.get("s", F.lit(k)) for k in range(len(PAIRS))])
     near = points.join(found.select("g", "m", "s"), "g", "left").select(*keep, "g", F.when(F.col("solid") > 0, d).alias("distance"))
