@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import chunked, column, table
+from plumbline.llm.common import chunked, column, small, table
 
 #: Where the rank file is; the same path on every machine is not needed, only on the driver.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Pieces that a worker remembers before it starts afresh.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>, n_bytes bigint, round_trip boolean"
 
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for batch in batches:
+        for batch in small(batches):
             texts, ids = column(batch, "text"), batch.column(0)
             for a, b in chunked(texts):
                 part = texts[a:b]
@@ -271,7 +271,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(shared)
-        for batch in batches:
+        for batch in small(batches):
             texts = [None if x is None else e.decode_bytes(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in column(batch, "token_ids")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, small, table
 
 PER_LANGUAGE, LANDMARKS, RIDGE = 250, 40, 1e-2
 #: The most frequent characters have a symbol each; the others share BUCKETS.
@@ -159,7 +159,7 @@ def _score(docs: DataFrame, keep: list[str], per_language: int, least: float, ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
-        for batch in batches:
+        for batch in small(batches):
             texts = column(batch, "text")
             if scorer and texts:
                 scores, share = scorer(texts)

@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, small, table
 
 DISTANCE, LEAST_CHARS = 2, 20
 
+#: Lines that a task remembers to have sent before it starts afresh.
+MOST_KNOWN = 200_000
+
 #: Pairs that are verified or formed at once.
 BLOCK = 20_000
 
@@ -83,14 +86,16 @@ def _keys(docs: DataFrame, distance: int, least: int) -> DataFrame:
     """(key, id, size): size is the line's length where it is indexed, and its length negative where it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known: set[int] = set()
+        for batch in small(batches):
             texts = column(batch, "text")
-            known = np.zeros(0, np.int64)
+            if len(known) > MOST_KNOWN:
+                known.clear()
             for a, b in chunked(texts):
                 _, _, start, end, _, hasher = lines_of(texts[a:b], least)
                 ids, first = np.unique(_hashes(hasher(start, end)), return_index=True)
-                new = ~np.isin(ids, known)
-                known = np.concatenate((known, ids[new]))
+                new = np.array([x not in known for x in ids.tolist()], bool)
+                known.update(ids[new].tolist())
                 ids, start, end = ids[new], start[first[new]], end[first[new]]
                 for which, key, indexed in keys_of(start, end, hasher, distance):
                     size = (end - start)[which].astype(np.int32)
@@ -212,8 +217,11 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(id, line): the text of each line that is compared, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, known = column(batch, "text"), set()
+        known: set[int] = set()
+        for batch in small(batches):
+            texts = column(batch, "text")
+            if len(known) > MOST_KNOWN:
+                known.clear()
             for a, b in chunked(texts):
                 row, _, start, end, begins, hasher = lines_of(texts[a:b], least)
                 ids, first = np.unique(_hashes(hasher(start, end)), return_index=True)
@@ -230,7 +238,7 @@ def _places(docs: DataFrame, least: int) -> DataFrame:
     """(id, doc_id, at) of every line that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = column(batch, "text")
             for a, b in chunked(texts):
                 row, number, start, end, _, hasher = lines_of(texts[a:b], least)
@@ -263,7 +271,7 @@ def duplicates(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST_CHA
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         new = []
         for text, removed in zip(column(batch, "text"), column(batch, "removed")):
             gone = set(removed or ())

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import column, table
+from plumbline.llm.common import column, small, table
 
 DICTIONARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -250,7 +250,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, vocabulary: str = D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, forest = shared.value
         features = Features(known)
-        for batch in batches:
+        for batch in small(batches):
             row, starts, ends, x, prints = [], [], [], [], []
             for k, (text, path) in enumerate(zip(column(batch, "text"), column(batch, "source"))):
                 for a, b in candidates(text) if text else ():
