@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, small, table
 
-RUN, LEAST_WORDS = 3, 8
+RUN, LEAST_WORDS = 2, 10
 
 _ENDS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
 
@@ -74,7 +74,7 @@ def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
     """(doc_id, removed): for each document that loses any, the numbers of the sentences removed, from 0, in order."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for row, place, h in runs_of(column(batch, "text"), run, least_words):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "at", "h1", "h2"])
 
@@ -98,7 +98,7 @@ def strip_sentences(text: str, removed: list[int]) -> str:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         texts, removed = column(batch, "text"), column(batch, "removed")
         new = [strip_sentences(t, r) if t and r else t for t, r in zip(texts, removed)]
         at = batch.schema.get_field_index("text")
