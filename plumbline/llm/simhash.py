@@ -26,7 +26,7 @@ from plumbline.llm import textnum as tn
 from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, small, table
 from plumbline.llm.components import components
 
-BITS, DISTANCE = 128, 13
+BITS, DISTANCE = 128, 17
 
 #: Parts of a segment by which signatures are brought together, rows that are matched at once, and pairs verified at once.
 PARTS, MEETING, PAIRS = 3, 50_000, 500_000
