@@ -15,18 +15,19 @@ from plumbline.operators.curate import upserted
 RECORD = "item_id string, article string, decision_date string, value double, ord bigint"
 
 
-def current(spark: SparkSession, target: str, schema: str = RECORD) -> DataFrame:
-    """The table as of the last finished batch; empty before the first."""
+def current(spark: SparkSession, target: str, schema: str = RECORD, below: int | None = None) -> DataFrame:
+    """The table as of the last finished batch, or the last one before ``below``; empty before the first."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     path = spark._jvm.org.apache.hadoop.fs.Path
     done = [s.getPath().getName() for s in fs.listStatus(path(target))] if fs.exists(path(target)) else []
     versions = sorted(int(n.removeprefix("v=")) for n in done if n.startswith("v=") and fs.exists(path(f"{target}/{n}/_SUCCESS")))
+    versions = [v for v in versions if below is None or v < below]
     return spark.read.schema(schema).parquet(f"{target}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 def upsert_batch(batch: DataFrame, number: int, target: str) -> None:
     spark = batch.sparkSession
-    before = current(spark, target) if number else spark.createDataFrame([], RECORD)
+    before = current(spark, target, below=number)
     upserted(before, batch).select(*before.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
 
 

@@ -190,6 +190,9 @@ def test_streaming(spark, tmp_path):
         (source / f"{k}.json").write_text("\n".join(json.dumps({"item_id": i, "article": "x", "decision_date": "2024-01-01", "value": v, "ord": o}) for i, v, o in rows))
         refresh.refresh(spark, str(source), target, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     assert {r.item_id: r.value for r in refresh.current(spark, target).collect()} == {"a": 3.0, "b": 2.0, "c": 4.0}
+    again = spark.read.schema(refresh.RECORD).json(str(source / "1.json"))
+    refresh.upsert_batch(again, 1, target)
+    assert {r.item_id: r.value for r in refresh.current(spark, target).collect()} == {"a": 3.0, "b": 2.0, "c": 4.0}
 
 
 def test_collisions(spark):
