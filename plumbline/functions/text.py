@@ -19,21 +19,21 @@ _OPENERS = ("the court will (?:now assess|first examine|examine the merits)", "t
 #: Where the assessment begins: a numbered heading, a bare heading, or an opening phrase.
 MARKER = "(?imd)" + "|".join([f"^[ivx]+\\.\\s*(?:{'|'.join(_HEADS)})", f"^(?:{'|'.join(_BARE)})", *_OPENERS])
 
-_BEEN = r"there\s+has\s+(?:been|not been)\s+(?:a\s+)?"
-_SAYS = r"(?:finds|concludes|holds)"
-#: Phrases that give the outcome, in the order in which they are tried.
-CONCLUSORY = tuple("(?id)" + p for p in (
-    *(rf"{_SAYS}\s+that\s+{_BEEN}{what}" for what in ("violation", "breach")),
-    *(rf"{_BEEN}{what}\s+of\s+Article" for what in ("violation", "breach")),
-    r"no\s+violation\s+of\s+Article",
-    "violated?\\s+Article",
-    rf"Accordingly,?\s+the\s+Court\s+{_SAYS}",
-    r"It\s+follows\s+that\s+there\s+has\s+(?:been|not been)",
-    r"In\s+the\s+light\s+of\s+the\s+above.*(?:finds|concludes)",
-    "The\\s+Court\\s+therefore\\s+concludes",
-    "dismisses?\\s+the\\s+(?:application|complaint)",
-    "Holds\\s+that",
-    "Decides\\s+that",
+_BEEN = "there has (?:not )?been "
+_SAYS = "(?:finds|holds|concludes)"
+#: Phrases that give the outcome, in the order in which they are tried; a space stands for white space of any length.
+CONCLUSORY = tuple("(?id)" + p.replace(" ", r"\s+") for p in (
+    *(f"{_SAYS} that {_BEEN}(?:a )?{what}" for what in ("violation", "breach")),
+    *(f"{_BEEN}(?:a )?{what} of article" for what in ("violation", "breach")),
+    "no violation of article",
+    "violated? article",
+    f"accordingly,? the court {_SAYS}",
+    f"it follows that {_BEEN.strip()}",
+    "in the light of the above.*(?:concludes|finds)",
+    "the court therefore concludes",
+    "dismisses? the (?:complaint|application)",
+    "holds that",
+    "decides that",
 ))
 
 _EITHER = "(?:a|no)"
@@ -43,11 +43,11 @@ LEAK = "(?i)" + "|".join((
     f"court (?:therefore |accordingly )?(?:{_SAYS}|considers) that there (?:has|have|had) been {_EITHER}",
     f"finds? (?:that there is|there has been) {_EITHER} violation",
     "does not find (?:a|any) (?:violation|breach)",
-    r"no violation of article \d+[\w\s./()-]* has (?:therefore )?occurred",
+    r"no violation of article [0-9]+[-\s\w./()]* has (?:therefore )?occurred",
     "unanimously,? that",
     f"discloses? {_EITHER} (?:violation|breach) of article",
 ))
-SENTENCE_GAP = r'(?<=[.!?])\s+(?=(?:\d{1,3}\.\s+)?[A-Z“"(])'
+SENTENCE_GAP = r'(?<=[!?.])\s+(?=(?:[0-9]{1,3}[.]\s+)?["“(A-Z])'
 SCRUBBED = "+conclusion_scrub"
 
 
@@ -65,7 +65,7 @@ def conclusion_parts(conclusion: Column) -> Column:
     parts = F.transform(
         F.split(F.coalesce(conclusion, F.lit("")), ";"),
         lambda p: F.struct(
-            F.regexp_extract(p, r"(?i)Article\s+([\dP][\d-]*)", 1).alias("article"),
+            F.regexp_extract(p, r"(?i)article\s+([P\d][-\d]*)", 1).alias("article"),
             F.when(p.rlike(r"(?i)no\s+violation"), NO_VIOLATION).when(p.rlike("(?i)violation"), VIOLATION).alias("violation_label"),
         ),
     )
@@ -101,7 +101,7 @@ def scrubbed(text: Column) -> tuple[Column, Column]:
 
 def own_article_leak(text: Column, article: Column) -> Column:
     """Whether the text states the outcome for this article."""
-    pattern = F.concat(F.lit(r"(?i)there has (accordingly )?been (a|no) violation of Article\s+\Q"), article, F.lit(r"\E\b"))
+    pattern = F.concat(F.lit(r"(?i)there has (?:accordingly )?been (?:no|a) violation of article\s+\Q"), article, F.lit(r"\E\b"))
     return F.call_function("regexp_like", text, pattern)
 
 
@@ -122,7 +122,7 @@ KNOWN = tuple(sorted((
 
 
 def without_suffix(name: Column) -> Column:
-    return stripped(F.regexp_replace(name, r"(?i)\s*\[GC\]\s*$", ""))
+    return stripped(F.regexp_replace(name, r"(?i)\s*\[GC]\s*$", ""))
 
 
 def _unquoted(name: Column) -> Column:
@@ -131,7 +131,7 @@ def _unquoted(name: Column) -> Column:
 
 def extracted_respondent(case_name: Column) -> Column:
     """The party after ``v.``, or after ``c.`` if there is none, in capitals; null without either."""
-    found = [F.nullif(F.regexp_extract(case_name, rf"(?i)\b{x}\.\s+(.+?)(?:\s*$|\s*\()", 1), F.lit("")) for x in "vc"]
+    found = [F.nullif(F.regexp_extract(case_name, rf"(?i)\b{x}[.]\s+(.+?)\s*(?:\(|$)", 1), F.lit("")) for x in "vc"]
     return F.upper(without_suffix(_unquoted(F.regexp_replace(stripped(F.coalesce(*found)), r"\.+$", ""))))
 
 

@@ -142,7 +142,8 @@ def stratified(cases: DataFrame, states: int, per_state: int, seed: int = 42) ->
 
 
 class _Reader(HTMLParser):
-    OPEN = {"p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr"}
+    SILENT = frozenset(["style", "script"])
+    OPEN = frozenset("br div h1 h2 h3 h4 h5 h6 li p tr".split())
     CLOSE = (OPEN - {"br"}) | {"table"}
 
     def __init__(self) -> None:
@@ -151,13 +152,13 @@ class _Reader(HTMLParser):
         self.silent = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
+        if tag in self.SILENT:
             self.silent = True
         elif tag in self.OPEN:
             self.parts.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
+        if tag in self.SILENT:
             self.silent = False
         else:
             self.parts.append("\n" if tag in self.CLOSE else "  " if tag == "td" else "")
@@ -172,8 +173,8 @@ def text_of_html(html: str | None) -> str | None:
         return None
     reader = _Reader()
     reader.feed(html)
-    raw = re.sub(r"\n{3,}", "\n\n", "".join(reader.parts))
-    return "\n".join(re.sub("[ \t]+", " ", line.strip()) for line in raw.split("\n")).strip()
+    lines = re.sub("\n\n\n+", "\n\n", "".join(reader.parts)).split("\n")
+    return "\n".join(re.sub(r"[\t ]+", " ", x) for x in map(str.strip, lines)).strip()
 
 
 def html_texts(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -271,14 +271,14 @@ SELECT model, stage, CAST(sum(calls) AS BIGINT) AS calls, round(sum(calls * (tin
 FROM fx_cases, (VALUES {", ".join(f"('{e}')" for e in X.EVALUATORS)}) e(evaluator), (VALUES ('predictive'), ('normative')) c(condition), range(3) t(s) WHERE NOT (e.evaluator IN ('model-a', 'model-b') AND c.condition = 'predictive')"""),
     "top_k": "SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, user_id LIMIT 15",
     "conclusion_pairs": X.with_views("fx_conclusion", """parts AS (SELECT doc_id, unnest(string_split(conclusion, ';')) AS p FROM fx_conclusion),
-found AS (SELECT doc_id, regexp_extract(p, '(?i)Article\\s+([\\dP][\\d-]*)', 1) AS article, CASE WHEN regexp_matches(p, '(?i)no\\s+violation') THEN 'no_violation' WHEN regexp_matches(p, '(?i)violation') THEN 'violation' END AS violation_label FROM parts),
+found AS (SELECT doc_id, regexp_extract(p, '(?i)article\\s+([P\\d][-\\d]*)', 1) AS article, CASE WHEN regexp_matches(p, '(?i)no\\s+violation') THEN 'no_violation' WHEN regexp_matches(p, '(?i)violation') THEN 'violation' END AS violation_label FROM parts),
 good AS (SELECT * FROM found WHERE article <> '' AND violation_label IS NOT NULL)
 SELECT f.doc_id, coalesce(article, '') AS article, coalesce(violation_label, 'unknown') AS violation_label FROM fx_conclusion f LEFT JOIN good USING (doc_id)"""),
     "truncate_marker": X.with_views("fx_text", f"SELECT doc_id, md5(regexp_extract(full_text || chr(1), '(?s)^(.*?)(?:\\x01$|' || '{_MARKER.replace('^', '(?m:^)').replace('(?im)', '(?i)').replace('merits$', 'merits(?m:$)')}' || ')', 1)) AS head, regexp_matches(full_text, '{_MARKER}') AS marked FROM fx_text"),
     "scrub_lines": X.with_views("fx_text", f"""lines AS (SELECT doc_id, string_split(full_text, E'\\n') AS l FROM fx_text),
 kept AS (SELECT doc_id, len(l) AS n, list_filter(l, lambda s: NOT regexp_matches(s, '{_LEAK}')) AS k FROM lines)
 SELECT doc_id, CAST(n - len(k) AS INTEGER) AS n_dropped, CAST(length(array_to_string(k, E'\\n')) AS INTEGER) AS n_chars FROM kept"""),
-    "leak_flag": X.with_views("fx_text", "SELECT doc_id, regexp_matches(full_text, '(?i)there has (accordingly )?been (a|no) violation of Article\\s+\\Q' || article || '\\E\\b') AS leak FROM fx_text"),
+    "leak_flag": X.with_views("fx_text", "SELECT doc_id, regexp_matches(full_text, '(?i)there has (?:accordingly )?been (?:no|a) violation of article\\s+\\Q' || article || '\\E\\b') AS leak FROM fx_text"),
     "verified_cases": "SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 4 = 0 AS leaks, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'a,b,c' ELSE 'c' END AS sentences FROM documents",
     "respondent_clean": X.with_views("fx_cases", f"SELECT doc_id, respondent AS old_respondent, {_RESPONDENTS} AS respondent FROM fx_cases"),
     "rename_log": X.with_views("fx_cases", f"SELECT respondent AS old_respondent, {_RESPONDENTS} AS respondent, count(*) AS n FROM fx_cases GROUP BY ALL HAVING respondent <> {_RESPONDENTS}").replace("HAVING respondent <>", "HAVING fx_cases.respondent <>"),
