@@ -174,7 +174,7 @@ def text_of_html(html: str | None) -> str | None:
     reader = _Reader()
     reader.feed(html)
     lines = re.sub("\n\n\n+", "\n\n", "".join(reader.parts)).split("\n")
-    return "\n".join(re.sub(r"[\t ]+", " ", x) for x in map(str.strip, lines)).strip()
+    return "\n".join(" ".join(re.split("[\t ]+", x)) for x in map(str.strip, lines)).strip()
 
 
 def html_texts(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -198,7 +198,7 @@ def contamination_input(cases: DataFrame, genre: str = "001-", articles: dict[st
 
 def published(cases: DataFrame) -> DataFrame:
     """The projection that is handed on, with the text under one name."""
-    return cases.select("item_id", "case_name", "article", "violation_label", "decision_date", "respondent", F.coalesce(F.nullif("text_nv", F.lit("")), "full_text").alias("case_text"))
+    return cases.select("item_id", "article", "case_name", "respondent", "violation_label", "decision_date", F.coalesce(F.nullif("text_nv", F.lit("")), "full_text").alias("case_text"))
 
 
 def hits(rows: DataFrame, columns: str = "columns") -> DataFrame:

@@ -62,7 +62,7 @@ def conversations(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.transform(ordered, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"), F.count(F.lit(1)).alias("n_turns"))
 
 
-def request_params(model: Column, temperature: float = 1.0, max_tokens: int = 100) -> dict[str, Column]:
+def request_params(model: Column, max_tokens: int = 100, temperature: float = 1.0) -> dict[str, Column]:
     """Parameters by model: reasoning models have their own limit and no temperature; some need room for reasoning."""
     m = F.lower(model)
     reasons = m.contains("gpt-5")

@@ -53,7 +53,7 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each case, evaluator, condition and sample; the three small dimensions are generated in place."""
-    one = cases(spark, sf_dir).select("doc_id", "item_id", "case_name", "article", "violation_label", "grp")
+    one = cases(spark, sf_dir).select("doc_id", "item_id", "article", "grp", "case_name", "violation_label")
     e, k, s, d = (F.col(c) for c in ("e", "k", "sample_idx", "doc_id"))
     for name, n in (("e", len(EVALUATORS)), ("k", len(CONDITIONS)), ("sample_idx", SAMPLES)):
         one = one.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
