@@ -40,7 +40,7 @@ LEAST, MARGIN = 0.2, 0.0
 BLOCK = 64
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple]:
     """(language, text) of the bounded training sample, in a fixed order."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language)
