@@ -32,6 +32,9 @@ DISTANCE, LEAST_CHARS = 2, 20
 #: Lines that a task remembers to have sent before it starts afresh.
 MOST_KNOWN = 200_000
 
+#: Bits of the filter for each line that is wanted, the most bits that it has, and the shifts that give a line's places.
+SIEVE_BITS, MOST_SIEVE, SHIFTS = 16, 1 << 28, (0, 29)
+
 #: Pairs that are verified or formed at once.
 BLOCK = 20_000
 
@@ -213,11 +216,34 @@ def _verify(distance: int):
     return run
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(id, line): the text of each line that is compared, once a task."""
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``ids``, in bytes: SIEVE_BITS for each id and at most MOST_SIEVE, with two places for each id. A fuller
+    filter lets more ids through that aren't there; it never keeps back one that is."""
+    size = min(MOST_SIEVE, 1 << max(10, (ids.count() * SIEVE_BITS - 1).bit_length()))
+    # an id is a hash already, so its own bits, from two places, are as good as others
+    place = F.explode(F.array(*(F.shiftrightunsigned("id", k).bitwiseAND(F.lit(size - 1).cast("bigint")) for k in SHIFTS)))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("b"))
+    out = np.zeros(size // 8, np.uint8)
+    for table_ in words.toArrow().to_batches():
+        out[table_.column(0).to_numpy()] = table_.column(1).to_numpy()
+    return out
+
+
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out, u = np.ones(len(ids), bool), ids.view(np.uint64)
+    for k in SHIFTS:
+        p = (u >> np.uint64(k)) & np.uint64(8 * len(bits) - 1)
+        out &= (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def _lines(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
+    """(id, line): the text of each line of ``wanted``, and of some others, a few times from each task at most."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
+        bits = shared.value
         for batch in small(batches):
             texts = column(batch, "text")
             if len(known) > MOST_KNOWN:
@@ -225,6 +251,8 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
             for a, b in chunked(texts):
                 row, _, start, end, begins, hasher = lines_of(texts[a:b], least)
                 ids, first = np.unique(_hashes(hasher(start, end)), return_index=True)
+                maybe = _passes(bits, ids)
+                ids, first = ids[maybe], first[maybe]
                 fresh = [k for k, x in enumerate(ids.tolist()) if x not in known]
                 known.update(ids[fresh].tolist())
                 at = first[fresh]
@@ -252,7 +280,8 @@ def near_pairs(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST_CHA
     keys = _keys(docs, distance, least).repartition("key").sortWithinPartitions("key", "id", "size")
     pairs = cut(keys.mapInArrow(_meet, "a bigint, b bigint").distinct())
     wanted = pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct()
-    lines = cut(_lines(docs, least).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = cut(wanted)
+    lines = cut(_lines(docs, least, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
     ta, tb = lines.selectExpr("id as a", "line as ta"), lines.selectExpr("id as b", "line as tb")
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(distance), "a bigint, b bigint")
 
