@@ -6,8 +6,9 @@ from its own down to DISTANCE less, the substrings that the multi-match-aware wi
 pairs, each once; a banded bit-parallel edit distance verifies them. Lines of equal text take part once.
 
 A line is removed if a line before it in the corpus, by ``doc_id`` and line number, is equal or within the distance,
-whether or not that one is removed itself. Lines are compared without the white space at both ends. Lines of fewer than
-``LEAST_CHARS`` characters are too short for the distance to tell anything: they are not compared and stay.
+whether or not that one is removed itself. Lines are compared without the white space at both ends. Every line that isn't
+blank takes part in equality; lines of fewer than ``distance`` + 1 characters are within the distance of any other such
+line, so that only their equality counts.
 
 Cases: a null or empty text has no lines to compare and stays; rows of null ``doc_id`` are left out (and stay in
 ``without_duplicates``); rows that share a ``doc_id`` are one document: equal places aren't duplicates of each other,
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from plumbline.llm import textnum as tn
 from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, small, table
 
-DISTANCE, LEAST_CHARS = 2, 20
+DISTANCE = 2
+#: The least characters of lines that edits are sought of: each segment has one then.
+LEAST_CHARS = DISTANCE + 1
 
 #: Lines that a task remembers to have sent before it starts afresh.
 MOST_KNOWN = 200_000
@@ -39,8 +42,8 @@ SIEVE_BITS, MOST_SIEVE, SHIFTS = 16, 1 << 28, (0, 29)
 BLOCK = 20_000
 
 
-def lines_of(texts: list, least: int = LEAST_CHARS) -> tuple[np.ndarray, ...]:
-    """Of each line that is compared: number of its text, of the line, start and end without blanks; and the hasher."""
+def lines_of(texts: list, least: int = 1) -> tuple[np.ndarray, ...]:
+    """Of each line of ``least`` characters or more: number of its text, of the line, start and end without blanks; and the hasher."""
     points, begins = tn.join(texts)
     kind = tn.kinds(points)
     upto = np.flatnonzero((points == 10) | (kind == tn.END)) + 1
@@ -262,21 +265,22 @@ def _lines(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, line string")
 
 
-def _places(docs: DataFrame, least: int) -> DataFrame:
-    """(id, doc_id, at) of every line that is compared."""
+def _places(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, at) of every line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = column(batch, "text")
             for a, b in chunked(texts):
-                row, number, start, end, _, hasher = lines_of(texts[a:b], least)
+                row, number, start, end, _, hasher = lines_of(texts[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array(_hashes(hasher(start, end))), batch.column(0).take(pa.array(row + a)), pa.array(number.astype(np.int32))], ["id", "doc_id", "at"])
 
     return docs.mapInArrow(run, "id bigint, doc_id bigint, at int")
 
 
 def near_pairs(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): the hashes of all pairs of different lines within ``distance`` edits."""
+    """(a, b): the hashes of all pairs of different lines, of ``least`` and of ``distance`` + 1 characters at least, within ``distance`` edits."""
+    least = max(least, distance + 1)
     keys = _keys(docs, distance, least).repartition("key").sortWithinPartitions("key", "id", "size")
     pairs = cut(keys.mapInArrow(_meet, "a bigint, b bigint").distinct())
     wanted = pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct()
@@ -289,7 +293,7 @@ def near_pairs(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST_CHA
 def duplicates(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, removed): for each document that loses lines, their numbers, from 0, in order."""
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
-    places = _places(slim, least)
+    places = _places(slim)
     first = places.groupBy("id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     near = near_pairs(slim, distance, least)
     fa, fb = (first.select(F.col("id").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")

@@ -55,6 +55,16 @@ def test_lines(spark):
     assert sum(len(x.text.split("\n")) for x in left) == sum(len(t.split("\n")) for t in texts) - len(want)
 
 
+def test_short_lines(spark):
+    r = random.Random(12)
+    texts = ["\n".join("".join(r.choices("abcdefghijklmnop", k=r.randint(1, 12))) for _ in range(8)) for _ in range(40)] + ["Les.\n a \nb", "And ornd.\nLes.\na"]
+    lines = [(d, k, line.strip()) for d, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+    near = lambda x, y: x == y or (min(len(x), len(y)) >= 3 and levenshtein(x, y) <= 2)
+    want = {(d, k) for n, (d, k, x) in enumerate(lines) if any(near(x, y) for _, _, y in lines[:n])}
+    got = {(x.doc_id, k) for x in linededup.duplicates(docs(spark, texts)).collect() for k in x.removed}
+    assert got == want and {(41, 1), (41, 2)} <= got and len(got) < len(lines)
+
+
 def test_warc_links(spark):
     page = '<html><head><title> T &amp; x </title><script>no()</script></head><body><p>One &lt;b&gt;</p><a href="http://o/1">Two</a></body></html>'
     responses = warc.responses(spark.createDataFrame([(1, "http://a", page)], "page_id bigint, url string, html string"))
