@@ -1,13 +1,15 @@
 """Removal of sentences that runs of consecutive sentences repeat from elsewhere in the corpus.
 
-Every run of ``RUN`` consecutive sentences with at least ``LEAST_WORDS`` words is hashed to 128 bits, by windows that
-move on one sentence at a time; equal runs meet by hash; the first, by ``doc_id`` and position, stays, and the sentences
-that any other covers are removed. So a longer repeated passage is covered by overlapping runs.
+A run is of ``RUN`` consecutive sentences, or of as many more as make ``LEAST_WORDS`` words. From each sentence the
+shortest run that begins there, and the shortest that ends there, is hashed to 128 bits; equal runs meet by hash; the
+first, by ``doc_id`` and position, stays, and the sentences that any other covers are removed. So a longer repeated
+passage is covered to both its ends by overlapping runs, however short its sentences are. A single sentence of
+``LONG_WORDS`` words is a run too, and so is one of ``LEAST_WORDS`` that is the whole of its text.
 
 A sentence ends after . ! ? (or their full-width forms) before white space, at a line break, or with the text. Case
 and the kind of white space don't count.
 
-Cases: null or empty text, or one of fewer than ``RUN`` sentences, has no runs; rows of null ``doc_id`` are left out
+Cases: null or empty text, or one of fewer than ``LEAST_WORDS`` words, has no runs; rows of null ``doc_id`` are left out
 (and kept by ``without_repeats``); a repeat within a document counts, its first place stays; rows that share a
 ``doc_id`` are one document, whose equal places aren't repeats of each other, and a sentence number removed is removed
 from all of them; texts of any length count whole; an empty table gives no rows; further columns are not read.
@@ -26,6 +28,8 @@ from plumbline.llm import textnum as tn
 from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, small, table
 
 RUN, LEAST_WORDS = 2, 10
+#: Words of a sentence that is a passage by itself.
+LONG_WORDS = 50
 
 _ENDS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
 
@@ -54,20 +58,24 @@ def sentences(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return row, start - begins[row], end - begins[row], begun[end] - begun[start], hashes
 
 
-def runs_of(texts: list, run: int = RUN, least_words: int = LEAST_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each run: the number of its text, of its first sentence there, and its hashes; by chunks of texts."""
+def runs_of(texts: list, run: int = RUN, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each run: the number of its text, of its first and last sentence there, and its hashes; by chunks of texts."""
     for a, b in chunked(texts):
         row, _, _, words, hashes = sentences(texts[a:b])
-        n = len(row) - run + 1
-        if n <= 0:
+        n = len(row)
+        if not n:
             continue
-        total, mixed = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
-        for k in range(run):
-            total += words[k : k + n]
-            mixed = tn.mix(mixed + hashes[k : k + n], k)
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        good = (row[:n] == row[run - 1 :]) & (total >= least_words)
-        yield row[:n][good] + a, place[:n][good], mixed[good].view(np.int64)
+        upto, every = np.concatenate(([0], np.cumsum(words))), np.arange(n)
+        # a run is of the sentences first .. last
+        last = np.maximum(every + run, np.searchsorted(upto, upto[:-1] + least_words)) - 1
+        first = np.minimum(every + 1 - run, np.searchsorted(upto, upto[1:] - least_words, "right") - 1)
+        begin, end = np.searchsorted(row, row), np.searchsorted(row, row, "right")
+        alone = (words >= long_words) | ((end - begin == 1) & (words >= least_words))
+        forth, back = last < end, first >= begin
+        firsts, lasts = np.concatenate((every[forth], first[back], every[alone])), np.concatenate((last[forth], every[back], every[alone]))
+        firsts, lasts = np.divmod(np.unique(firsts * n + lasts), n)
+        mixed = np.column_stack([tn.Hasher(hashes[:, k], k)(firsts, lasts + 1) for k in (0, 1)])
+        yield row[firsts] + a, firsts - begin[firsts], lasts - begin[firsts], mixed.view(np.int64)
 
 
 def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -75,13 +83,13 @@ def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            for row, place, h in runs_of(column(batch, "text"), run, least_words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "at", "h1", "h2"])
+            for row, first, last, h in runs_of(column(batch, "text"), run, least_words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "at", "upto", "h1", "h2"])
 
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
-    spans = slim.mapInArrow(hashed, "doc_id bigint, at int, h1 bigint, h2 bigint")
+    spans = slim.mapInArrow(hashed, "doc_id bigint, at int, upto int, h1 bigint, h2 bigint")
     order = Window.partitionBy("h1", "h2").orderBy("doc_id", "at")
-    later = spans.withColumn("nth", F.rank().over(order)).where("nth > 1").select("doc_id", F.explode(F.sequence("at", F.col("at") + (run - 1))).alias("at"))
+    later = spans.withColumn("nth", F.rank().over(order)).where("nth > 1").select("doc_id", F.explode(F.sequence("at", "upto")).alias("at"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 

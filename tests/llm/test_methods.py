@@ -241,6 +241,18 @@ def test_spans(spark):
         assert x.text == " ".join(y for k, y in enumerate(s) if k not in want[x.doc_id])
 
 
+def test_spans_of_short_and_long_sentences(spark):
+    r = random.Random(13)
+    poem, long = "\n".join(r.sample(WORDS, 23)), prose(r, 80)
+    own = ["%s %s. %s %s." % tuple(r.sample(WORDS, 4)) for _ in range(2)]
+    # the passage of 5, 4, 6 and 3 words ends with a run of less than 10 in two sentences
+    passage = " ".join(prose(r, k).capitalize() + "." for k in (5, 4, 6, 3))
+    texts = [poem, poem, long, long, own[0] + " " + long + ".", own[1] + " " + long + ".", "Fir. " + passage + " Elm.", "Oak. " + passage + " Yew.", "ash birch", "ash birch", prose(r, 12), "x"]
+    texts[11] = texts[10]
+    got = {x.doc_id: list(x.removed) for x in spans.repeats(docs(spark, texts)).collect()}
+    assert got == {1: list(range(23)), 3: [0], 5: [2], 7: [1, 2, 3, 4], 11: [0]}
+
+
 def near_by_hand(rows, distance):
     return {(min(a, b), max(a, b)) for n, (a, x) in enumerate(rows) for b, y in rows[:n] if (x ^ y).bit_count() <= distance}
 
