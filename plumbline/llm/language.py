@@ -9,8 +9,12 @@ and multiplies it with the landmarks' matrix, then with the regressions'.
 The sample is bounded: ``per_language`` documents of each language at most, those with the lowest hash of ``doc_id``.
 Characters are folded to lower case and ``SYMBOLS`` symbols: the most frequent of the sample, and buckets for others.
 
-A document is rejected if it has no letter, if less than ``least`` of its distinct n-grams are known from any
-landmark (another language or script, or no language), or if no language leads the next by more than ``margin``.
+A document is rejected if it has no letter, if too few of its distinct n-grams are known from any landmark (another
+language or script, or no language), or if no language leads the next by enough. How much that is comes from the sample:
+of each half, pieces of 4 characters and more, and whole texts, are scored by a model of the other half; the share and the
+lead that all but ``HELD`` of those of a language and size have are asked of a text that is taken for it, and between two
+sizes what lies between, by number of n-grams.
+``least`` and ``margin`` are asked at least, and alone of languages with less than ``ENOUGH`` pieces of a size.
 
 Cases: null or empty text has no language, score 0, and is rejected; the whole of a text counts, however long; equal
 scores give the language first in order of its name, and are rejected; rows of null language are
@@ -36,6 +40,8 @@ FREQUENT, BUCKETS = 96, 16
 SYMBOLS = FREQUENT + BUCKETS
 #: The least share of known n-grams, and the lead of the best score, of a document that is accepted.
 LEAST, MARGIN = 0.2, 0.0
+#: The part of held-out pieces of a language and size that may lie below a limit, the pieces that a limit takes, and their characters.
+HELD, ENOUGH, PIECES = 0.005, 50, tuple(4 << k for k in range(9))
 #: Documents that are scored in one product.
 BLOCK = 64
 
@@ -80,8 +86,39 @@ class Spectrum:
             yield grams[seen[grams] == order]
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict | None:
-    """The model of (language, text) rows; None without any."""
+def limits(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict[str, tuple[np.ndarray, ...]]:
+    """Of each language the logarithms of numbers of n-grams, and the least share of known ones and the least lead there."""
+    halves: tuple[list, list] = ([], [])
+    count: dict[str, int] = {}
+    for lang, text in rows:
+        halves[count.get(lang, 0) % 2].append((lang, text))
+        count[lang] = count.get(lang, 0) + 1
+    found: dict[tuple[str, float], list] = {}
+    for own, other in (halves, halves[::-1]):
+        model = fit(own, landmarks, ridge, held=False)
+        if not model or not other:
+            continue
+        scorer = Scorer(model)
+        for size in (*PIECES, None):
+            pieces = [(x, t if size is None or len(t) < size else t[(len(t) - size) // 3 :][:size]) for x, t in other if size is None or 2 * len(t) >= size]
+            if not pieces:
+                continue
+            texts = [t for _, t in pieces]
+            scores, share, grams = scorer(texts)
+            lang, _, lead, _ = verdicts(scores, share, grams, texts, scorer.languages, {}, 0.0, 0.0)
+            for (x, _), y, *values in zip(pieces, lang, np.log2(np.maximum(grams, 1)), share, lead):
+                if x == y:
+                    found.setdefault((x, size or np.inf), []).append(values)
+    out: dict[str, list] = {}
+    for (lang, _), values in sorted(found.items()):
+        if len(values) >= ENOUGH:
+            n, share, lead = zip(*values)
+            out.setdefault(lang, []).append((np.mean(n), np.quantile(share, HELD), np.quantile(lead, HELD)))
+    return {lang: tuple(np.array(c) for c in zip(*x)) for lang, x in out.items()}
+
+
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, held: bool = True) -> dict | None:
+    """The model of (language, text) rows, with the limits that held-out pieces of them give; None without any."""
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
@@ -104,6 +141,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weights = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ target)
     model["weights"] = root @ weights
+    model["limits"] = limits(rows, landmarks, ridge) if held else {}
     return model
 
 
@@ -126,7 +164,7 @@ def _kernel(grams: list[np.ndarray], place: np.ndarray, matrix: np.ndarray, norm
 
 class Scorer:
     def __init__(self, model: dict):
-        self.languages, self.norms, self.weights = model["languages"], model["norms"], model["weights"]
+        self.languages, self.norms, self.weights, self.limits = model["languages"], model["norms"], model["weights"], model["limits"]
         self.spectrum = Spectrum.__new__(Spectrum)
         self.spectrum.symbol, self.spectrum.size = model["symbol"], model["size"]
         known = model["known"]
@@ -134,13 +172,17 @@ class Scorer:
         self.place = np.full(model["size"], -1, np.int32)
         self.place[known] = np.arange(len(known))
 
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, a row for each text and a column for each language, and the shares of known n-grams."""
-        parts = [_kernel(list(self.spectrum(texts[a:b])), self.place, self.matrix, self.norms) for a, b in chunked(texts)]
-        return np.concatenate([k for k, _ in parts]) @ self.weights, np.concatenate([c for _, c in parts])
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, a row for each text and a column for each language, the shares of known n-grams, and their numbers."""
+        parts = []
+        for a, b in chunked(texts):
+            grams = list(self.spectrum(texts[a:b]))
+            parts.append((*_kernel(grams, self.place, self.matrix, self.norms), np.array([len(g) for g in grams])))
+        kernel, share, count = (np.concatenate(x) for x in zip(*parts))
+        return kernel @ self.weights, share, count
 
 
-def verdicts(scores: np.ndarray, share: np.ndarray, texts: list, languages: list[str], least: float, margin: float) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+def verdicts(scores: np.ndarray, share: np.ndarray, grams: np.ndarray, texts: list, languages: list[str], held: dict, least: float, margin: float) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     best = scores.argmax(1)
     top = scores[np.arange(len(best)), best]
     rest = scores.copy()
@@ -148,7 +190,14 @@ def verdicts(scores: np.ndarray, share: np.ndarray, texts: list, languages: list
     lead = top - rest.max(1) if scores.shape[1] > 1 else np.full(len(best), 2.0)
     lettered = np.array([bool(t) and any(c.isalpha() for c in t) for t in texts], bool)
     top, lead = np.where(lettered, top, 0.0), np.where(lettered, lead, 0.0)
-    return [languages[k] if ok else None for k, ok in zip(best, lettered)], top, lead, lettered & (share >= least) & (lead > margin)
+    enough = lettered & (share >= least) & (lead > margin)
+    for k, lang in enumerate(languages):
+        if lang in held:
+            size, shares, leads = held[lang]
+            n = np.log2(np.maximum(grams, 1))
+            # a hair less, as scores of equal texts may differ in the last digits
+            enough &= (best != k) | ((share >= np.interp(n, size, shares) - 1e-9) & (lead >= np.interp(n, size, leads) - 1e-9))
+    return [languages[k] if ok else None for k, ok in zip(best, lettered)], top, lead, enough
 
 
 def _score(docs: DataFrame, keep: list[str], per_language: int, least: float, margin: float) -> DataFrame:
@@ -162,8 +211,8 @@ def _score(docs: DataFrame, keep: list[str], per_language: int, least: float, ma
         for batch in small(batches):
             texts = column(batch, "text")
             if scorer and texts:
-                scores, share = scorer(texts)
-                lang, top, lead, ok = verdicts(scores, share, texts, scorer.languages, least, margin)
+                scores, share, grams = scorer(texts)
+                lang, top, lead, ok = verdicts(scores, share, grams, texts, scorer.languages, scorer.limits, least, margin)
             else:
                 share = top = lead = np.zeros(len(texts))
                 lang, ok = [None] * len(texts), np.zeros(len(texts), bool)

@@ -187,6 +187,23 @@ def test_language_held_out(spark):
     assert not foreign.accepted
 
 
+def test_language_rejects_other_latin(spark):
+    r = random.Random(14)
+    en, de = EN.split(), DE.split()
+    rows = [(k, " ".join(r.choices(en if k % 2 else de, k=r.randint(5, 60))), "en" if k % 2 else "de") for k in range(300)]
+    clean = [(1000 + k, " ".join(r.choices(en if k % 2 else de, k=r.randint(2, 40))), None) for k in range(200)]
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita",
+        "Mieleni minun tekevi, aivoni ajattelevi, sanat suussani sulavat, puheet putoelevat",
+        "Litwo, Ojczyzno moja! ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie",
+        *(" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(30)) for _ in range(10)),
+        *("".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=200)) for _ in range(10)),
+    ]
+    got = {x.doc_id: x.accepted for x in language.predict(docs(spark, rows + clean + [(5000 + k, t, None) for k, t in enumerate(foreign)])).collect()}
+    assert not any(got[5000 + k] for k in range(len(foreign)))
+    assert sum(got[k] for k, *_ in clean) >= 190
+
+
 def test_kernel_by_hand():
     texts = ["abc", "abd", "xyz"]
     grams = [{t[a : a + n] for n in (1, 2, 3) for a in range(len(t) - n + 1)} for t in texts]
