@@ -17,7 +17,7 @@ of whatever name are not.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, table
 #: Words of a phrase, and the least that a shorter item must have to be searched for.
 WORDS, LEAST = 10, 5
 
-#: Characters of benchmark text that are searched for in one pass; more takes several passes.
+#: Characters of benchmark text that make one table of phrases; more makes several, which each batch is searched for in turn.
 BLOCK_CHARS = 32_000_000
 
 #: Every so many positions of a shard are stored with their row.
@@ -204,17 +204,34 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.expr(f"pmod(xxhash64(item_id, text), {n}) = {k}")) if n > 1 else items for k in range(n)]
 
 
-def _search(docs: DataFrame, items: DataFrame, words: int, every: bool) -> DataFrame:
+def find_all(texts: list, tables: Iterable[dict]) -> dict[int, tuple[list[tuple[int, int]], list[int], int]]:
+    """What ``find`` gives for all the tables as if they were one."""
+    out: dict = {}
+    for sought in tables:
+        for r, new in find(texts, sought).items():
+            if r not in out:
+                out[r] = new
+                continue
+            merged: list[tuple[int, int]] = []
+            for s, e in sorted(out[r][0] + new[0]):
+                if merged and s <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+                else:
+                    merged.append((s, e))
+            out[r] = (merged, sorted({*out[r][1], *new[1]}), sum(len(tn.words([texts[r][s:e]])[0]) for s, e in merged))
+    return out
+
+
+def _search(docs: DataFrame, blocks: list[DataFrame], words: int, every: bool) -> DataFrame:
     """FOUND's columns: of every row, or only of those with spans."""
-    sought = phrases_of([tuple(r) for r in items.collect()], words)
-    shared = docs.sparkSession.sparkContext.broadcast(sought)
+    shared = [docs.sparkSession.sparkContext.broadcast(phrases_of([tuple(r) for r in items.collect()], words)) for items in blocks]
     names = [x.split()[0] for x in ("doc_id", "spans", "item_ids", "n_words", "cleaned")]
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text")
-            found = find(texts, shared.value)
+            found = find_all(texts, (x.value for x in shared))
             rows = range(len(texts)) if every else sorted(found)
             none: tuple = ([], [], 0)
             part = [found.get(r, none) for r in rows]
@@ -237,54 +254,14 @@ def _search(docs: DataFrame, items: DataFrame, words: int, every: bool) -> DataF
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents that hold a phrase: merged spans in characters, the items, and the text without the spans."""
-    blocks = _blocks(benchmark)
-    slim = docs.select("doc_id", "text")
-    if len(blocks) == 1:
-        return _search(slim, blocks[0], words, False)
-    parts = [_search(slim, b, words, False).select("doc_id", "spans", "item_ids") for b in blocks]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = union.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
-    return slim.join(merged, "doc_id").mapInArrow(_apply, FOUND)
-
-
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the spans that several passes found, and takes them out."""
-    for batch in batches:
-        texts, spans = column(batch, "text"), []
-        for x in column(batch, "spans"):
-            merged: list = []
-            for s, e in sorted((y["start"], y["end"]) for y in x):
-                if merged and s <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-                else:
-                    merged.append((s, e))
-            spans.append(merged)
-        count = [sum(len(tn.words([t[s:e]])[0]) for s, e in x) for t, x in zip(texts, spans)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                batch.column(batch.schema.get_field_index("item_ids")),
-                pa.array(count, pa.int64()),
-                pa.array([without(t, x) for t, x in zip(texts, spans)], pa.string()),
-            ],
-            ["doc_id", "spans", "item_ids", "n_words", "cleaned"],
-        )
+    return _search(docs.select("doc_id", "text"), _blocks(benchmark), words, False)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFrame:
-    """``docs``, the columns of documents, with every span taken out of its text; no shuffle for one block of benchmark."""
+    """``docs``, the columns of documents, with every span taken out of its text; no shuffle."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    blocks = _blocks(benchmark)
-    if len(blocks) == 1:
-        found = _search(docs, blocks[0], words, True)
-        text, changed = F.col("cleaned"), F.size("spans") > 0
-    else:
-        found = docs.join(contaminated(docs, benchmark, words).select("doc_id", "cleaned").dropDuplicates(["doc_id"]), "doc_id", "left")
-        text, changed = F.coalesce("cleaned", "text"), F.col("cleaned").isNotNull()
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length(text).cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
+    found = _search(docs, _blocks(benchmark), words, True)
+    return found.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.when(F.size("spans") > 0, F.length("cleaned").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from plumbline.llm import bpe, decontaminate, histosort, language, linededup, ou
 from plumbline.llm.common import DOCUMENT_COLUMNS
 from pyspark.sql import functions as F
 
-from .fixtures import EN, docs, empty, odd
+from .fixtures import DE, EN, docs, empty, odd
 
 
 def benchmark(spark):
@@ -59,6 +59,16 @@ def test_null_ids_stay(spark):
         assert FILTER[name](spark, odd(spark)).where("doc_id is null").count() == 1, name
 
 
+def test_blocks_of_benchmark(spark, monkeypatch):
+    items = spark.createDataFrame([(1, EN), (2, None), (3, EN[30:]), (None, EN), (4, EN), (4, DE), (5, DE[20:])], "item_id bigint, text string")
+    d = odd(spark).union(docs(spark, [(4, DE), (None, DE + EN), (6, "other " + EN)], extra=True))
+    both = lambda: [sorted(map(repr, x.collect())) for x in (decontaminate.contaminated(d, items), decontaminate.decontaminate(d, items))]
+    one = both()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 50)
+    assert len(decontaminate._blocks(items)) > 5
+    assert both() == one and len(one[1]) == 16
+
+
 def test_pipeline_stages(spark):
     d = odd(spark)
     for _, stage in corpus_pipeline.STAGES[:3]:
