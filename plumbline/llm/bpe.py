@@ -165,7 +165,7 @@ class Encoder:
         """All ids, and the number of each text's."""
         points, begins = tn.join(texts)
         starts, ends = pieces(points)
-        hashes = tn.Hasher(points)(starts, ends)
+        hashes = tn.hashes_of(points, starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()

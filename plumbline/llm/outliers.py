@@ -60,7 +60,7 @@ def counts_of(texts: list) -> np.ndarray:
         row = np.searchsorted(begins, starts, "right") - 1
         upto = np.concatenate(([0], np.cumsum(digit)))
         part.append(np.bincount(row[upto[ends] > upto[starts]], minlength=n))
-        h = tn.Hasher(low)(starts, ends)
+        h = tn.hashes_of(low, starts, ends)
         part.append(np.bincount(row, minlength=n))
         part.append(_again(row, tn.mix(h[:-2]) + tn.mix(h[1:-1], 1) + tn.mix(h[2:], 2), 3, n) if len(h) > 2 else np.zeros(n, np.int64))
         stop = np.flatnonzero((points == 10) | (kind == tn.END))
@@ -68,7 +68,7 @@ def counts_of(texts: list) -> np.ndarray:
         full = stop - start > 1
         start, stop = start[full], stop[full]
         row = np.searchsorted(begins, start, "right") - 1
-        part += [np.bincount(row, minlength=n), _again(row, tn.Hasher(low)(start, stop), 1, n)]
+        part += [np.bincount(row, minlength=n), _again(row, tn.hashes_of(low, start, stop), 1, n)]
         out[a:b] = np.column_stack(part)
     return out
 

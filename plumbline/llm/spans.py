@@ -4,12 +4,15 @@ A run is of ``RUN`` consecutive sentences, or of as many more as make ``LEAST_WO
 shortest run that begins there, and the shortest that ends there, is hashed to 128 bits; equal runs meet by hash; the
 first, by ``doc_id`` and position, stays, and the sentences that any other covers are removed. So a longer repeated
 passage is covered to both its ends by overlapping runs, however short its sentences are. A single sentence of
-``LONG_WORDS`` words is a run too, and so is one of ``LEAST_WORDS`` that is the whole of its text.
+``LONG_WORDS`` words is a run too, and so is one of ``LEAST_WORDS`` that is the whole of its text. Phrases, headings and notices of fewer words than that are common property and stay.
+
+The first place of each run is found by an aggregation that combines before its shuffle, and runs that occur once end there;
+a join, which Spark splits where one run is very frequent, brings the others their first place.
 
 A sentence ends after . ! ? (or their full-width forms) before white space, at a line break, or with the text. Case
 and the kind of white space don't count.
 
-Cases: null or empty text, or one of fewer than ``LEAST_WORDS`` words, has no runs; rows of null ``doc_id`` are left out
+Cases: null or empty text, or one of fewer than ``LEAST_WORDS`` words, has no runs, so copies of it stay; rows of null ``doc_id`` are left out
 (and kept by ``without_repeats``); a repeat within a document counts, its first place stays; rows that share a
 ``doc_id`` are one document, whose equal places aren't repeats of each other, and a sentence number removed is removed
 from all of them; texts of any length count whole; an empty table gives no rows; further columns are not read.
@@ -21,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
 from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, small, table
 
-RUN, LEAST_WORDS = 2, 10
+RUN, LEAST_WORDS = 2, 20
 #: Words of a sentence that is a passage by itself.
 LONG_WORDS = 50
 
@@ -35,7 +39,7 @@ _ENDS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
 
 
 def sentences(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each sentence that isn't blank: the number of its text, start, end, number of words, and two hashes."""
+    """Of each sentence that isn't blank: the number of its text, start and end in its chunk's characters, number of words; and those characters."""
     points, begins = tn.join(texts)
     kind = tn.kinds(points)
     blank = (kind == tn.SPACE) | (kind == tn.END)
@@ -50,32 +54,31 @@ def sentences(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     full = first <= last
     start, end = solid[first[full]], solid[last[full]] + 1
     norm = tn.lowered(points)
-    norm[kind == tn.SPACE] = 32
+    norm[blank] = 32
     word = (kind == tn.LETTER) | (kind == tn.NUMBER)
     begun = np.concatenate(([0], np.cumsum(word & ~np.concatenate(([False], word[:-1])))))
-    row = np.searchsorted(begins, start, "right") - 1
-    hashes = np.column_stack([tn.Hasher(norm, k)(start, end) for k in (0, 1)])
-    return row, start - begins[row], end - begins[row], begun[end] - begun[start], hashes
+    return np.searchsorted(begins, start, "right") - 1, start, end, begun[end] - begun[start], norm
 
 
 def runs_of(texts: list, run: int = RUN, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> Iterator[tuple[np.ndarray, ...]]:
     """Of each run: the number of its text, of its first and last sentence there, and its hashes; by chunks of texts."""
     for a, b in chunked(texts):
-        row, _, _, words, hashes = sentences(texts[a:b])
+        row, start, end, words, norm = sentences(texts[a:b])
         n = len(row)
         if not n:
             continue
+        flat = norm.tobytes().decode("utf-32-le", "surrogatepass")
+        own = b"".join([xxhash.xxh3_128_digest(flat[s:e].encode("utf-8", "surrogatepass")) for s, e in zip(start.tolist(), end.tolist())])
         upto, every = np.concatenate(([0], np.cumsum(words))), np.arange(n)
         # a run is of the sentences first .. last
         last = np.maximum(every + run, np.searchsorted(upto, upto[:-1] + least_words)) - 1
         first = np.minimum(every + 1 - run, np.searchsorted(upto, upto[1:] - least_words, "right") - 1)
-        begin, end = np.searchsorted(row, row), np.searchsorted(row, row, "right")
-        alone = (words >= long_words) | ((end - begin == 1) & (words >= least_words))
-        forth, back = last < end, first >= begin
+        begin, stop = np.searchsorted(row, row), np.searchsorted(row, row, "right")
+        forth, back, alone = last < stop, first >= begin, (words >= long_words) | ((stop - begin == 1) & (words >= least_words))
         firsts, lasts = np.concatenate((every[forth], first[back], every[alone])), np.concatenate((last[forth], every[back], every[alone]))
         firsts, lasts = np.divmod(np.unique(firsts * n + lasts), n)
-        mixed = np.column_stack([tn.Hasher(hashes[:, k], k)(firsts, lasts + 1) for k in (0, 1)])
-        yield row[firsts] + a, firsts - begin[firsts], lasts - begin[firsts], mixed.view(np.int64)
+        hashes = b"".join([xxhash.xxh3_128_digest(own[16 * x : 16 * y + 16]) for x, y in zip(firsts.tolist(), lasts.tolist())])
+        yield row[firsts] + a, firsts - begin[firsts], lasts - begin[firsts], np.frombuffer(hashes, np.int64).reshape(-1, 2)
 
 
 def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -88,14 +91,14 @@ def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
 
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
     spans = slim.mapInArrow(hashed, "doc_id bigint, at int, upto int, h1 bigint, h2 bigint")
-    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "at")
-    later = spans.withColumn("nth", F.rank().over(order)).where("nth > 1").select("doc_id", F.explode(F.sequence("at", "upto")).alias("at"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("removed"))
+    firsts = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = spans.join(firsts, ["h1", "h2"]).where("struct(doc_id, at) <> first")
+    return later.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "upto")), lambda x: F.sequence(x["at"], x["upto"]))))).alias("removed"))
 
 
 def strip_sentences(text: str, removed: list[int]) -> str:
     """``text`` without the sentences of these numbers, and without the white space after each."""
-    _, starts, ends, _, _ = sentences([text])
+    _, starts, _, _, _ = sentences([text])
     gone, out, at = set(removed), [], 0
     edges = [*starts.tolist(), len(text)]
     for k in range(len(starts)):

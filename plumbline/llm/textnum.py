@@ -1,7 +1,7 @@
-"""Texts as arrays of code points: classes of characters, and hashes of any substring in constant time.
+"""Texts as arrays of code points: classes of characters, hashes of words, and keys of any substring in constant time.
 
-A substring's hash is its polynomial in an odd base modulo 2**64, from prefix sums, so that hashing
-millions of words, lines or segments takes a few array operations and no Python loop.
+Where a hash stands for its text, it is multilinear (``hashes_of``) or XXH3 of 128 bits; where it only proposes candidates,
+it is a polynomial from prefix sums (``Rolling``), which is cheap for many overlapping substrings.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ OTHER, LETTER, NUMBER, SPACE, END = range(5)
 
 #: Stands between two texts of a chunk; no text holds it.
 STOP = 0x110000
-_KNOWN = 0x33000
+#: Unicode has no letter, digit or space beyond plane 3.
+_KNOWN = 0x40000
 
 _state: dict = {}
 
@@ -76,8 +77,11 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-class Hasher:
-    """Hashes of substrings of an array of code points."""
+class Rolling:
+    """Keys of any substrings of an array of code points, overlapping ones too.
+
+    They only bring candidates together that are verified: texts can be made that differ and share a key.
+    """
 
     def __init__(self, points: np.ndarray, which: int = 0):
         n = len(points)
@@ -89,6 +93,30 @@ class Hasher:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def _multipliers(n: int) -> np.ndarray:
+    """n independent random odd numbers, always the same."""
+    have = _state.get("random")
+    if have is None or len(have) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        have = _state["random"] = np.random.Generator(np.random.PCG64(20240601)).integers(0, 1 << 63, size, np.uint64) << np.uint64(1) | np.uint64(1)
+    return have
+
+
+def hashes_of(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Multilinear hashes of the parts [start, end) of an array; parts are in order and don't overlap, and none is empty.
+
+    Each place of a part has a random multiplier of its own, so no structure of two texts makes them collide.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    length = ends - starts
+    which = gather(starts, length)
+    begin = np.cumsum(length) - length
+    place = which - np.repeat(starts, length)
+    value = (points[which].astype(np.uint64) + np.uint64(1)) * _multipliers(int(length.max()))[place]
+    return mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64 bits in which every bit of the argument matters to every bit of the result."""
     h = h + np.uint64((seed * 0xD1B54A32D192ED03 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -117,7 +145,7 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     kind = kinds(points)
     starts, ends = runs((kind == LETTER) | (kind == NUMBER))
     row = np.searchsorted(begins, starts, "right") - 1
-    return row, starts - begins[row], ends - begins[row], Hasher(points)(starts, ends)
+    return row, starts - begins[row], ends - begins[row], hashes_of(points, starts, ends)
 
 
 assert sys.byteorder == "little"

@@ -65,6 +65,47 @@ def test_short_lines(spark):
     assert got == want and {(41, 1), (41, 2)} <= got and len(got) < len(lines)
 
 
+def lines_by_hand(texts):
+    lines = [(d, k, line.strip()) for d, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+    near = lambda x, y: x == y or (min(len(x), len(y)) >= 3 and abs(len(x) - len(y)) < 3 and levenshtein(x, y) <= 2)
+    return {(d, k) for n, (d, k, x) in enumerate(lines) if any(near(x, y) for _, _, y in lines[:n])}
+
+
+@pytest.mark.parametrize("frequent", [True, False])
+def test_lines_of_frequent_keys(spark, monkeypatch, frequent):
+    """Lines that share a segment, or two, or are a family, when every key is taken for one that makes too many pairs."""
+    monkeypatch.setattr(linededup, "MOST_PAIRS", 3)
+    monkeypatch.setattr(linededup, "BLOCK_LINES", 4)
+    if frequent:
+        monkeypatch.setattr(linededup, "SAMPLED", 1)
+        monkeypatch.setattr(linededup, "LEAST_FREQUENT", 5)
+    r = random.Random(15)
+    any_ = lambda n: "".join(r.choices("abcdefgh", k=n))
+    lines = ["common beginning " + any_(r.randint(8, 16)) for _ in range(60)] + [any_(14) + " and an end" for _ in range(30)]
+    lines += [edited(r, x, r.randint(1, 3)) for x in r.sample(lines, 40)] + [f"record number {k:04d}" for k in range(0, 4000, 57)] + [any_(r.randint(3, 6)) for _ in range(20)]
+    r.shuffle(lines)
+    texts = ["\n".join(lines[k : k + 6]) for k in range(0, len(lines), 6)]
+    got = {(x.doc_id, k) for x in linededup.duplicates(docs(spark, texts)).collect() for k in x.removed}
+    assert got == lines_by_hand(texts)
+
+
+def test_many_lines_of_one_key(spark):
+    r = random.Random(16)
+    lines = ["this segment is common to all " + "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=45)) for _ in range(10_000)]
+    lines[5000], lines[9000] = lines[7] + "q", lines[8][:40] + lines[8][41:]
+    got = {(x.doc_id, *x.removed) for x in linededup.duplicates(docs(spark, ["\n".join(lines[k : k + 100]) for k in range(0, 10_000, 100)])).collect()}
+    assert got == {(50, 0), (90, 0)}
+
+
+def test_lines_are_compared_whole(spark):
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert linededup.duplicates(docs(spark, [a, b])).count() == 0 and spans.repeats(docs(spark, [a + " x" * 60, b + " x" * 60])).count() == 0
+    assert [x.removed for x in linededup.duplicates(docs(spark, [a, b, a])).collect()] == [[0]]
+
+
 def test_warc_links(spark):
     page = '<html><head><title> T &amp; x </title><script>no()</script></head><body><p>One &lt;b&gt;</p><a href="http://o/1">Two</a></body></html>'
     responses = warc.responses(spark.createDataFrame([(1, "http://a", page)], "page_id bigint, url string, html string"))
@@ -235,10 +276,10 @@ def test_bpe_equals_merging(spark):
 
 def test_spans(spark):
     r = random.Random(8)
-    shared = [prose(r, 6).capitalize() + "." for _ in range(8)]
+    shared = [prose(r, 10).capitalize() + "." for _ in range(8)]
     texts = []
     for _ in range(40):
-        own = [prose(r, 6).capitalize() + "." for _ in range(4)]
+        own = [prose(r, 10).capitalize() + "." for _ in range(4)]
         if r.random() < 0.5:
             a = r.randrange(6)
             own[2:2] = shared[a : a + r.randint(2, 6)]
@@ -262,14 +303,22 @@ def test_spans_of_short_and_long_sentences(spark):
     r = random.Random(13)
     poem, long = "\n".join(r.sample(WORDS, 23)), prose(r, 80)
     own = ["%s %s. %s %s." % tuple(r.sample(WORDS, 4)) for _ in range(2)]
-    # the passage of 5, 4, 6 and 3 words ends with a run of less than 10 in two sentences
-    passage = " ".join(prose(r, k).capitalize() + "." for k in (5, 4, 6, 3))
-    texts = [poem, poem, long, long, own[0] + " " + long + ".", own[1] + " " + long + ".", "Fir. " + passage + " Elm.", "Oak. " + passage + " Yew.", "ash birch", "ash birch", prose(r, 12), "x"]
+    # the passage of 10, 8, 12 and 6 words ends with a run of less than 20 in two sentences
+    passage = " ".join(prose(r, k).capitalize() + "." for k in (10, 8, 12, 6))
+    texts = [poem, poem, long, long, own[0] + " " + long + ".", own[1] + " " + long + ".", "Fir. " + passage + " Elm.", "Oak. " + passage + " Yew.", "ash birch", "ash birch", prose(r, 24), "x"]
     texts[11] = texts[10]
     got = {x.doc_id: list(x.removed) for x in spans.repeats(docs(spark, texts)).collect()}
     assert got == {1: list(range(23)), 3: [0], 5: [2], 7: [1, 2, 3, 4], 11: [0]}
 
 
+def test_one_passage_in_many_documents(spark):
+    r = random.Random(17)
+    passage = " ".join(prose(r, 12).capitalize() + "." for _ in range(3))
+    texts = [f"Number {k} {prose(r, 9)}. {passage} End {k} {prose(r, 9)}." for k in range(10_000)]
+    got = {x.doc_id: x.removed for x in spans.repeats(docs(spark, texts)).collect()}
+    assert len(got) == 9_999 and 0 not in got and all(x == [1, 2, 3] for x in got.values())
+
+
 def near_by_hand(rows, distance):
     return {(min(a, b), max(a, b)) for n, (a, x) in enumerate(rows) for b, y in rows[:n] if (x ^ y).bit_count() <= distance}
 
