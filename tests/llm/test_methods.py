@@ -135,6 +135,21 @@ def test_histogram_sort(spark):
     assert [-1 if x.doc_id is None else x.doc_id for x in parts] == sorted(-1 if i is None else i for i, _ in rows)
 
 
+@pytest.mark.parametrize("spread", [1, 10**13, 2**63 // 10**6])
+def test_splitters_of_many_shards(spread):
+    """100,000 shards of keys in hand; the ends of the range of keys too."""
+    rng = np.random.default_rng(18)
+    keys = np.sort(rng.integers(-(10**6), 10**6, 2_000_000) * spread)
+    keys[:2], keys[-2:] = -(2**63), 2**63 - 1
+    upto = np.concatenate(([0], np.cumsum(np.full(len(keys), 100))))
+    got = histosort.search(lambda asked: upto[np.searchsorted(keys, asked)], int(keys[0]), int(keys[-1]), int(upto[-1]), 0, 2_000, 0.02, histosort.PROBES)
+    edges = upto[np.concatenate(([0], np.searchsorted(keys, got), [len(keys)]))]
+    heaviest = np.unique(keys, return_counts=True)[1].max() * 100
+    assert np.diff(edges).max() <= 2_000 * 1.05 + heaviest and len(got) > 60_000
+    few = histosort.search(lambda asked: upto[np.searchsorted(keys, asked)], int(keys[0]), int(keys[-1]), int(upto[-1]), 0, 2_000, 0.02, histosort.PROBES, most=10)
+    assert len(few) == 9 and np.abs(upto[np.searchsorted(keys, few)] - upto[-1] * np.arange(1, 10) / 10).max() <= 0.02 * upto[-1] / 10 + heaviest
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     items = [prose(r, r.randint(3, 30)) for _ in range(20)]
