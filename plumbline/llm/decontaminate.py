@@ -6,11 +6,11 @@ shorter than the shortest phrase can hold none, so neither is indexed: nothing t
 phrases, which are the runs of ``words`` words of the items, are searched backwards together; rows of the ranges
 found are walked to sampled suffix positions; and the spans that result are merged.
 
-Words are maximal runs of letters or of digits in lower case, so case, punctuation and line breaks don't matter.
+Words are maximal runs of letters and digits in lower case, so case, punctuation and line breaks don't matter.
 
-Cases: an item of fewer than ``words`` words is one phrase, but one of fewer than ``least`` words is not searched
-for; a null or empty text has no spans; a null item is skipped, and without any item nothing is found; texts of
-any length are searched whole; every occurrence counts, ties don't arise; repeated rows are reported each; a row with
+Cases: an item of fewer than ``words`` words is one phrase, and one of fewer than ``least`` words counts only where it makes
+up whole lines, as so few words are common property elsewhere; an item without words is not searched for; a null or empty
+text has no spans; a null item is skipped, and without any item nothing is found; texts of any length are searched whole; every occurrence counts, ties don't arise; repeated rows are reported each; a row with
 a null ``doc_id`` is searched too and reported under null; only ``doc_id`` and ``text`` are read, further columns
 of whatever name are not.
 """
@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, small, table
 
-#: Words of a phrase, and the least that a shorter item must have to be searched for.
+#: Words of a phrase, and the least that a shorter item must have to be found within a line.
 WORDS, LEAST = 10, 5
 
 #: Characters of benchmark text that make one table of phrases; more makes several, which each batch is searched for in turn.
 BLOCK_CHARS = 32_000_000
 
+#: Tables that are broadcast at once, which bounds what a worker holds; more take another pass that carries the spans on.
+PASS_BLOCKS = 8
+
 #: Every so many positions of a shard are stored with their row.
 SAMPLE = 8
 
@@ -91,7 +94,8 @@ class FMIndex:
         self.before = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=top + 1))))
         first = np.concatenate(([True], symbols[:-1] == 0))
         self.marked = (order % sample == 0) | first[order]
-        self.stored = np.where(self.marked, order, -1)
+        self.nth = np.cumsum(self.marked, dtype=np.int32)
+        self.stored = order[self.marked].astype(np.int32)
 
     def ranges(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of phrases of one length, a row each: the numbers of those that occur, and their ranges of rows."""
@@ -113,10 +117,10 @@ class FMIndex:
             rows[todo] = self.before[c] + self.tree.rank(c, rows[todo])
             steps[todo] += 1
             todo = todo[~self.marked[rows[todo]]]
-        return self.stored[rows] + steps
+        return self.stored[self.nth[rows] - 1] + steps
 
 
-def phrases_of(items: list[tuple[int, str]], words: int = WORDS, least: int = LEAST) -> dict:
+def phrases_of(items: list[tuple[int, str]], words: int = WORDS) -> dict:
     """What is searched for: the vocabulary's hashes in order, and for each length of phrase the distinct phrases and
     the pairs (phrase, item)."""
     row, _, _, hashes = tn.words([t for _, t in items])
@@ -125,7 +129,7 @@ def phrases_of(items: list[tuple[int, str]], words: int = WORDS, least: int = LE
     edges = np.searchsorted(row, np.arange(len(items) + 1))
     by: dict[int, list] = {}
     for (item, _), a, b in zip(items, edges[:-1], edges[1:]):
-        if b - a >= least:
+        if b > a:
             n = min(words, b - a)
             windows = np.lib.stride_tricks.sliding_window_view(ids[a:b], n)
             by.setdefault(int(n), []).append((windows, np.full(len(windows), item)))
@@ -138,13 +142,22 @@ def phrases_of(items: list[tuple[int, str]], words: int = WORDS, least: int = LE
     return {"vocabulary": vocabulary, "by_length": out}
 
 
-def find(texts: list, sought: dict) -> dict[int, tuple[list[tuple[int, int]], list[int], int]]:
+def line_edges(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of ``texts``, by (row, start, end), whether it is the first and the last of its line."""
+    points, begins = tn.join(texts)
+    upto = np.concatenate(([0], np.cumsum((points == 10) | (points == tn.STOP))))
+    line = upto[begins[row] + starts]
+    first = np.append(True, line[1:] != line[:-1])[: len(row)]
+    return first, np.append(first[1:], True)[: len(row)]
+
+
+def find(texts: list, sought: dict, least: int = LEAST) -> dict[int, tuple[list[tuple[int, int]], list[int], int]]:
     """By the number of the text, where any phrase occurs: merged spans, the items, and the number of words in spans."""
     vocabulary, by_length = sought["vocabulary"], sought["by_length"]
     if not by_length:
         return {}
     shortest = min(by_length)
-    kept: list[list[np.ndarray]] = [[], [], [], []]
+    kept: list[list[np.ndarray]] = [[] for _ in range(6)]
     for a, b in chunked(texts):
         row, starts, ends, hashes = tn.words(texts[a:b])
         at = np.searchsorted(vocabulary, hashes)
@@ -160,9 +173,10 @@ def find(texts: list, sought: dict) -> dict[int, tuple[list[tuple[int, int]], li
         stop = np.zeros(len(take), bool)
         stop[np.cumsum(length + 1) - 1] = True
         take = np.where(stop, take - 1, take)
-        for column_, values in zip(kept, (np.where(stop, 0, at[take] + 1), row[take] + a, starts[take], ends[take])):
+        opens, closes = line_edges(row, starts, ends, texts[a:b]) if shortest < least else (known, known)
+        for column_, values in zip(kept, (np.where(stop, 0, at[take] + 1), row[take] + a, starts[take], ends[take], opens[take], closes[take])):
             column_.append(values)
-    symbols, row, starts, ends = (np.concatenate(k) for k in kept)
+    symbols, row, starts, ends, opens, closes = (np.concatenate(k) for k in kept)
     if not len(symbols):
         return {}
     index = FMIndex(symbols, len(vocabulary))
@@ -171,6 +185,9 @@ def find(texts: list, sought: dict) -> dict[int, tuple[list[tuple[int, int]], li
         which, low, high = index.ranges(phrases)
         places = index.locate(tn.gather(low, high - low))
         phrase = np.repeat(which, high - low)
+        if n < least:
+            whole = opens[places] & closes[places + n - 1]
+            places, phrase = places[whole], phrase[whole]
         spots.append(np.column_stack((row[places], starts[places], ends[places + n - 1], places, places + n)))
         a, b = np.searchsorted(pairs[:, 0], phrase), np.searchsorted(pairs[:, 0], phrase, "right")
         owners.append(np.column_stack((np.repeat(row[places], b - a), pairs[tn.gather(a, b - a), 1])))
@@ -204,9 +221,9 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.expr(f"pmod(xxhash64(item_id, text), {n}) = {k}")) if n > 1 else items for k in range(n)]
 
 
-def find_all(texts: list, tables: Iterable[dict]) -> dict[int, tuple[list[tuple[int, int]], list[int], int]]:
-    """What ``find`` gives for all the tables as if they were one."""
-    out: dict = {}
+def find_all(texts: list, tables: Iterable[dict], before: dict | None = None) -> dict[int, tuple[list[tuple[int, int]], list[int], int]]:
+    """What ``find`` gives for all the tables, and those that gave ``before``, as if they were one."""
+    out: dict = dict(before or {})
     for sought in tables:
         for r, new in find(texts, sought).items():
             if r not in out:
@@ -222,16 +239,22 @@ def find_all(texts: list, tables: Iterable[dict]) -> dict[int, tuple[list[tuple[
     return out
 
 
-def _search(docs: DataFrame, blocks: list[DataFrame], words: int, every: bool) -> DataFrame:
-    """FOUND's columns: of every row, or only of those with spans."""
+_LISTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _pass(docs: DataFrame, blocks: list[DataFrame], words: int, rest: list[str], every: bool) -> DataFrame:
+    """FOUND's columns and ``rest`` of every row, or only of those with spans; spans that ``docs`` has count too."""
     shared = [docs.sparkSession.sparkContext.broadcast(phrases_of([tuple(r) for r in items.collect()], words)) for items in blocks]
     names = [x.split()[0] for x in ("doc_id", "spans", "item_ids", "n_words", "cleaned")]
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = column(batch, "text")
-            found = find_all(texts, (x.value for x in shared))
+        for batch in small(batches):
+            texts, before = column(batch, "text"), {}
+            if "spans" in batch.schema.names:
+                for r, (spans, ids, n) in enumerate(zip(*(column(batch, c) for c in ("spans", "item_ids", "n_words")))):
+                    if spans:
+                        before[r] = ([(x["start"], x["end"]) for x in spans], ids, n)
+            found = find_all(texts, (x.value for x in shared), before)
             rows = range(len(texts)) if every else sorted(found)
             none: tuple = ([], [], 0)
             part = [found.get(r, none) for r in rows]
@@ -239,7 +262,7 @@ def _search(docs: DataFrame, blocks: list[DataFrame], words: int, every: bool) -
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(take),
-                    pa.array([[{"start": s, "end": e} for s, e in x[0]] for x in part], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([[{"start": s, "end": e} for s, e in x[0]] for x in part], _LISTS),
                     pa.array([x[1] for x in part], pa.list_(pa.int64())),
                     pa.array([x[2] for x in part], pa.int64()),
                     pa.array([without(texts[r], x[0]) if x[0] else texts[r] for r, x in zip(rows, part)], pa.string()),
@@ -249,7 +272,17 @@ def _search(docs: DataFrame, blocks: list[DataFrame], words: int, every: bool) -
             )
 
     types = dict(docs.dtypes)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *rest).mapInArrow(run, ", ".join([FOUND, *(f"`{c}` {types[c]}" for c in rest)]))
+    return docs.mapInArrow(run, ", ".join([FOUND, *(f"`{c}` {types[c]}" for c in rest)]))
+
+
+def _search(docs: DataFrame, blocks: list[DataFrame], words: int, every: bool) -> DataFrame:
+    """FOUND's columns: of every row, or only of those with spans."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *rest)
+    while len(blocks) > PASS_BLOCKS:
+        docs = cut(_pass(docs, blocks[:PASS_BLOCKS], words, ["text", *rest], True).drop("cleaned"))
+        blocks = blocks[PASS_BLOCKS:]
+    return _pass(docs, blocks, words, rest, every)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFrame:

@@ -67,6 +67,8 @@ def test_blocks_of_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 50)
     assert len(decontaminate._blocks(items)) > 5
     assert both() == one and len(one[1]) == 16
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    assert both() == one
 
 
 def test_pipeline_stages(spark):

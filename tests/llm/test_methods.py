@@ -152,19 +152,20 @@ def test_splitters_of_many_shards(spread):
 
 def test_decontamination(spark):
     r = random.Random(4)
-    items = [prose(r, r.randint(3, 30)) for _ in range(20)]
+    items = [prose(r, r.randint(3, 30)) for _ in range(20)] + ["Yes", "oak elm", "?"]
     texts = []
     for _ in range(60):
         t = prose(r, r.randint(0, 60))
         if r.random() < 0.5:
-            t += ", " + r.choice(items).upper().replace(" ", "\n") + "! " + prose(r, 5)
+            t += ", " + r.choice(items).upper().replace(" ", r.choice(" \n")) + r.choice(("! ", "\n")) + prose(r, 5)
         texts.append(t)
+    texts += ["Yes, but\n- yes!\nyes", "oak elm\noak elm fir\n(oak, elm)", "yes"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = {x.doc_id: x for x in decontaminate.contaminated(docs(spark, texts), bench).collect()}
     phrases = {}
     for k, item in enumerate(items):
-        w = item.split()
-        if len(w) >= decontaminate.LEAST:
+        w = re.findall(r"\w+", item.lower())
+        if w:
             n = min(len(w), decontaminate.WORDS)
             for j in range(len(w) - n + 1):
                 phrases.setdefault(tuple(w[j : j + n]), set()).add(k)
@@ -173,7 +174,9 @@ def test_decontamination(spark):
         hit, owners = [], set()
         for p, ks in phrases.items():
             for j in range(len(places) - len(p) + 1):
-                if tuple(x[2] for x in places[j : j + len(p)]) == p:
+                a, b = places[j][0], places[j + len(p) - 1][1]
+                alone = not re.search(r"\w", t[t.rfind("\n", 0, a) + 1 : a]) and not re.search(r"\w", t[b:].split("\n")[0])
+                if tuple(x[2] for x in places[j : j + len(p)]) == p and (alone or len(p) >= decontaminate.LEAST):
                     hit.append((places[j][0], places[j + len(p) - 1][1]))
                     owners |= ks
         merged = []
@@ -187,6 +190,7 @@ def test_decontamination(spark):
             assert got[d].item_ids == sorted(owners)
     clean = {x.doc_id: x.text for x in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
     assert all(clean[d] == x.cleaned for d, x in got.items()) and len(clean) == len(texts)
+    assert [[s.start, s.end] for s in got[60].spans] == [[11, 14], [16, 19]] and 62 in got
 
 
 def test_secrets_held_out():
