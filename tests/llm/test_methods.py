@@ -98,10 +98,7 @@ def test_many_lines_of_one_key(spark):
 
 
 def test_lines_are_compared_whole(spark):
-    a = "a"
-    for _ in range(12):
-        a += a.translate(str.maketrans("ab", "ba"))
-    b = a.translate(str.maketrans("ab", "ba"))
+    a, b = thue_morse()
     assert linededup.duplicates(docs(spark, [a, b])).count() == 0 and spans.repeats(docs(spark, [a + " x" * 60, b + " x" * 60])).count() == 0
     assert [x.removed for x in linededup.duplicates(docs(spark, [a, b, a])).collect()] == [[0]]
 
@@ -273,12 +270,43 @@ def test_kernel_by_hand():
     assert len(got[0] & got[1]) == len(grams[0] & grams[1]) and not got[0] & got[2]
 
 
+def thue_morse():
+    """Two pieces that differ everywhere and that polynomials of any odd base modulo a power of two can't tell apart."""
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_suffix_automaton():
+    tokens = [b"a", b"b", b"c", b"ab", b"abc", b"cab", b"bcab", b"bb", b"abab"]
+    follow, link, length, state_of = bpe.suffix_automaton(tokens)
+    inside = {t[a:b] for t in tokens for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+
+    def walk(x):
+        s = 0
+        for c in x:
+            s = follow[s].get(c, -1)
+            if s < 0:
+                return -1
+        return s
+
+    from itertools import product
+
+    for n in (1, 2, 3, 4, 5):
+        for x in map(bytes, product(b"abc", repeat=n)):
+            assert (walk(x) >= 0) == (x in inside)
+            if x in inside:
+                assert length[link[walk(x)]] < n <= length[walk(x)]
+    assert state_of == [walk(t) for t in tokens]
+
+
 def test_bpe_equals_merging(spark):
     import tiktoken
 
     tokens = bpe.load_tokens()
     r = random.Random(7)
-    texts = ["".join(r.choices("ab the ing tion 's'll  \n\t123éß漢😀!?-_", k=r.randint(0, 300))) for _ in range(300)] + [None, "", "a" * 5000, " " * 3000, "it's they'll I'VE  x"]
+    texts = ["".join(r.choices("ab the ing tion 's'll  \n\t123éß漢😀!?-_", k=r.randint(0, 300))) for _ in range(300)] + [None, "", "a" * 5000, "".join(r.choices("etaoinshrdlu", k=3000)), "漢字かな交じり文" * 200, *thue_morse(), " " * 3000, "it's they'll I'VE  x"]
     pattern = __import__("public_tokenizers").PATTERN
     real = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
     d = docs(spark, list(enumerate(texts)))
