@@ -17,6 +17,7 @@ rows are encoded each; a row with a null ``doc_id`` keeps it; further columns ar
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import chunked, column, small, table
+from plumbline.llm.common import chunked, column, small, table, tokenizers
 
-#: Where the rank file is; the same path on every machine is not needed, only on the driver.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The rank file, in the folder that the setting spark.plumbline.tokenizers names; only the driver reads it.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 #: Characters whose pieces go along together, and pair tests that a worker remembers, by place of their hash.
 CHUNK, REMEMBERED = 1 << 20, 1 << 18
@@ -39,7 +40,7 @@ TOGETHER = 24
 SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>, n_bytes bigint, round_trip boolean"
 
 
-def load_tokens(path: str = VOCABULARY) -> list[bytes]:
+def load_tokens(path: str) -> list[bytes]:
     """The vocabulary in the order of its ranks, which are 0, 1, 2, ..."""
     with open(path, "rb") as f:
         ranks = {int(r): base64.b64decode(t) for t, r in map(bytes.split, f)}
@@ -194,7 +195,7 @@ def made_tables(tokens: list[bytes]) -> dict:
 
 
 @lru_cache(maxsize=2)
-def tables(path: str = VOCABULARY) -> dict:
+def tables(path: str) -> dict:
     return made_tables(load_tokens(path))
 
 
@@ -382,7 +383,7 @@ def pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each row of ``docs``: its token ids, and whether decoding them gives its text back. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(tables(os.path.join(tokenizers(docs.sparkSession), vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(shared.value)
@@ -417,7 +418,7 @@ def _each(e: Encoder, tokens: np.ndarray, counts: np.ndarray, raw: list[bytes])
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from (doc_id, token_ids); null ids give null text, and ids that are not a text's give U+FFFD."""
-    shared = encoded.sparkSession.sparkContext.broadcast(tables(vocabulary))
+    shared = encoded.sparkSession.sparkContext.broadcast(tables(os.path.join(tokenizers(encoded.sparkSession), vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(shared.value)

@@ -7,7 +7,7 @@ each language against the rest is solved on the sample. Scoring takes a block of
 and multiplies it with the landmarks' matrix, then with the regressions'.
 
 The sample is bounded: ``per_language`` documents of each language at most, those with the lowest hash of ``doc_id``.
-Characters are folded to lower case and ``SYMBOLS`` symbols: the most frequent of the sample, and buckets for others.
+An n-gram is a number of 63 bits that its code points, in lower case, make up; so all scripts count alike and whole.
 
 A document is rejected if it has no letter, if too few of its distinct n-grams are known from any landmark (another
 language or script, or no language), or if no language leads the next by enough. How much that is comes from the sample:
@@ -18,7 +18,7 @@ sizes what lies between, by number of n-grams.
 
 Cases: null or empty text has no language, score 0, and is rejected; the whole of a text counts, however long; equal
 scores give the language first in order of its name, and are rejected; rows of null language are
-not trained on but scored; with one labelled language or none every text is rejected, or has that language; repeated
+not trained on but scored, and ``identified`` puts the language found into ``lang`` of the rows that stay; with one labelled language or none every text is rejected, or has that language; repeated
 rows are scored each; further columns pass through ``identified`` and are not read by ``predict``.
 """
 
@@ -35,9 +35,8 @@ from plumbline.llm import textnum as tn
 from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, small, table
 
 PER_LANGUAGE, LANDMARKS, RIDGE = 250, 40, 1e-2
-#: The most frequent characters have a symbol each; the others share BUCKETS.
-FREQUENT, BUCKETS = 96, 16
-SYMBOLS = FREQUENT + BUCKETS
+#: Places of the table in which a text's n-grams are told apart.
+PLACES = 1 << 18
 #: The least share of known n-grams, and the lead of the best score, of a document that is accepted.
 LEAST, MARGIN = 0.2, 0.0
 #: The part of held-out pieces of a language and size that may lie below a limit, the pieces that a limit takes, and their characters.
@@ -58,32 +57,60 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple]:
     return [(lang, text) for _, lang, text in sorted({tuple(r) for r in rows.collect()})]
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Spectrum:
-    """The n-grams of texts as numbers below ``size``."""
+    """The distinct n-grams of texts."""
 
-    def __init__(self, texts: list[str]):
-        points = tn.lowered(tn.join(texts)[0])
-        points = points[points != tn.STOP]
-        characters, counts = np.unique(points, return_counts=True)
-        frequent = characters[np.lexsort((characters, -counts))][:FREQUENT]
-        self.symbol = (FREQUENT + np.arange(tn.STOP + 1) % BUCKETS).astype(np.int32)
-        self.symbol[frequent] = np.arange(len(frequent))
-        self.size = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+    def __init__(self):
+        self.seen = np.empty(PLACES, np.int32)
 
     def __call__(self, texts: list) -> Iterator[np.ndarray]:
-        """The distinct n-grams of each text."""
         points, begins = tn.join(texts)
-        one = self.symbol[tn.lowered(points)]
-        two = one[:-1] * SYMBOLS + one[1:]
-        three = two[:-1] * SYMBOLS + one[2:]
-        two, three = two + SYMBOLS, three + (SYMBOLS + SYMBOLS**2)
-        seen = np.empty(self.size, np.int32)
+        one = tn.lowered(points).astype(np.int64) + 1
+        two = (one[:-1] << 21) | one[1:]
+        three = (two[:-1] << 21) | one[2:]
+        places = [((g.view(np.uint64) * _SPREAD) >> np.uint64(46)).astype(np.int32) for g in (one, two, three)]
         for a, b in zip(begins.tolist(), np.append(begins[1:], len(points)).tolist()):
-            b -= 1
-            grams = np.concatenate((one[a:b], two[a : max(a, b - 1)], three[a : max(a, b - 2)]))
+            parts = [slice(a, max(a, b - n)) for n in (1, 2, 3)]
+            grams, place = (np.concatenate([x[p] for x, p in zip(xs, parts)]) for xs in ((one, two, three), places))
             order = np.arange(len(grams), dtype=np.int32)
-            seen[grams] = order
-            yield grams[seen[grams] == order]
+            self.seen[place] = order
+            last = self.seen[place]
+            mine = grams[last == order]
+            # n-grams that another one has taken the place of
+            other = grams[grams[last] != grams]
+            yield np.concatenate((mine, np.unique(other))) if len(other) else mine
+
+
+class Known:
+    """The places of n-grams among those of the landmarks, which are in order; -1 for others."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.bits = max(8, (8 * len(grams)).bit_length())
+        slot = self._slot(grams)
+        # of those that share a slot one has it; the others are looked for in order
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.table[slot] = np.arange(len(grams))
+        rest = np.flatnonzero(self.table[slot] != np.arange(len(grams)))
+        self.rest, self.crowded = grams[rest], np.zeros(1 << self.bits, bool)
+        self.rest_place = rest.astype(np.int32)
+        self.crowded[slot[rest]] = True
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.view(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        slot = self._slot(grams)
+        at = self.table[slot]
+        at[(at >= 0) & (self.grams[at] != grams)] = -1
+        more = np.flatnonzero((at < 0) & self.crowded[slot])
+        if len(more):
+            k = np.minimum(np.searchsorted(self.rest, grams[more]), len(self.rest) - 1)
+            at[more] = np.where(self.rest[k] == grams[more], self.rest_place[k], -1)
+        return at
 
 
 def limits(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict[str, tuple[np.ndarray, ...]]:
@@ -122,17 +149,16 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
-    spectrum = Spectrum([t for _, t in rows])
-    grams = [g for a, b in chunked([t for _, t in rows]) for g in spectrum([t for _, t in rows[a:b]])]
+    spectrum, texts = Spectrum(), [t for _, t in rows]
+    grams = [g for a, b in chunked(texts) for g in spectrum(texts[a:b])]
     of = np.array([languages.index(lang) for lang, _ in rows])
     chosen = np.concatenate([np.flatnonzero(of == k)[:landmarks] for k in range(len(languages))])
     known = np.unique(np.concatenate([grams[k] for k in chosen]))
-    place = np.full(spectrum.size, -1, np.int32)
-    place[known] = np.arange(len(known))
+    place = Known(known)
     matrix = np.zeros((len(known), len(chosen)), np.float32)
     for j, k in enumerate(chosen):
-        matrix[place[grams[k]], j] = 1
-    model = {"languages": languages, "symbol": spectrum.symbol, "size": spectrum.size, "known": known, "matrix": np.packbits(matrix.astype(bool), axis=0), "norms": 1 / np.sqrt([len(grams[k]) for k in chosen])}
+        matrix[place(grams[k]), j] = 1
+    model = {"languages": languages, "known": known, "matrix": np.packbits(matrix.astype(bool), axis=0), "norms": 1 / np.sqrt([len(grams[k]) for k in chosen])}
     kernel, _ = _kernel(grams, place, matrix, model["norms"])
     own, vectors = np.linalg.eigh(kernel[chosen])
     keep = own > 1e-6 * own[-1]
@@ -145,7 +171,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return model
 
 
-def _kernel(grams: list[np.ndarray], place: np.ndarray, matrix: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kernel(grams: list[np.ndarray], place: Known, matrix: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kernel values to the landmarks, and the share of each text's n-grams that any of these has."""
     out, share = np.empty((len(grams), matrix.shape[1])), np.empty(len(grams))
     block = np.zeros((BLOCK, matrix.shape[0]), np.float32)
@@ -153,7 +179,7 @@ def _kernel(grams: list[np.ndarray], place: np.ndarray, matrix: np.ndarray, norm
         part = grams[a : a + BLOCK]
         block[:] = 0
         for r, g in enumerate(part):
-            at = place[g]
+            at = place(g)
             at = at[at >= 0]
             block[r, at] = 1
             share[a + r] = len(at) / max(1, len(g))
@@ -165,12 +191,8 @@ def _kernel(grams: list[np.ndarray], place: np.ndarray, matrix: np.ndarray, norm
 class Scorer:
     def __init__(self, model: dict):
         self.languages, self.norms, self.weights, self.limits = model["languages"], model["norms"], model["weights"], model["limits"]
-        self.spectrum = Spectrum.__new__(Spectrum)
-        self.spectrum.symbol, self.spectrum.size = model["symbol"], model["size"]
-        known = model["known"]
-        self.matrix = np.unpackbits(model["matrix"], axis=0, count=len(known)).astype(np.float32)
-        self.place = np.full(model["size"], -1, np.int32)
-        self.place[known] = np.arange(len(known))
+        self.spectrum, self.place = Spectrum(), Known(model["known"])
+        self.matrix = np.unpackbits(model["matrix"], axis=0, count=len(model["known"])).astype(np.float32)
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, a row for each text and a column for each language, the shares of known n-grams, and their numbers."""
@@ -229,9 +251,10 @@ def predict(docs: DataFrame, per_language: int = PER_LANGUAGE, least: float = LE
 
 
 def identified(docs: DataFrame, per_language: int = PER_LANGUAGE, least: float = LEAST, margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with the columns of documents."""
+    """The rows of ``docs`` that are not rejected, with the columns of documents; ``lang`` is the language found."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    return _score(docs, list(DOCUMENT_COLUMNS), per_language, least, margin).where("accepted").select(*DOCUMENT_COLUMNS)
+    kept = _score(docs, list(DOCUMENT_COLUMNS), per_language, least, margin).where("accepted")
+    return kept.withColumn("lang", F.col("predicted_lang")).select(*DOCUMENT_COLUMNS)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,13 +261,41 @@ def test_language_rejects_other_latin(spark):
     assert sum(got[k] for k, *_ in clean) >= 190
 
 
-def test_kernel_by_hand():
-    texts = ["abc", "abd", "xyz"]
-    grams = [{t[a : a + n] for n in (1, 2, 3) for a in range(len(t) - n + 1)} for t in texts]
-    spectrum = language.Spectrum(texts)
-    got = [set(g.tolist()) for g in spectrum(texts)]
-    assert [len(g) for g in got] == [len(g) for g in grams]
-    assert len(got[0] & got[1]) == len(grams[0] & grams[1]) and not got[0] & got[2]
+def test_spectrum_by_hand():
+    r = random.Random(19)
+    texts = ["abc", "abd", "xyz", "", None, "漢字かな交じり文 漢字", "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(3000)), EN * 50]
+    got = [set(g.tolist()) for g in language.Spectrum()(texts)]
+    want = [{t[a : a + n] for n in (1, 2, 3) for a in range(len(t) - n + 1)} for t in ((x or "").lower() for x in texts)]
+    number = lambda g: sum((ord(c) + 1) << 21 * k for k, c in enumerate(reversed(g)))
+    assert got == [{number(g) for g in w} for w in want]
+    known = np.unique(np.array([number(g) for w in want[:7:2] for g in w], np.int64))
+    asked = np.array([number(g) for w in want for g in w], np.int64)
+    place = language.Known(known)(asked)
+    assert all((known[p] == g) if p >= 0 else g not in known for p, g in zip(place, asked))
+
+
+def test_language_against_dense_ridge():
+    """Scores against dense matrices over all n-grams, and verdicts with equal scores."""
+    r = random.Random(20)
+    en, de = EN.split(), DE.split()
+    rows = [("en" if k % 2 else "de", " ".join(r.choices(en if k % 2 else de, k=r.randint(4, 20)))) for k in range(80)]
+    asked = [" ".join(r.choices(en + de, k=12)) for _ in range(30)] + ["", "漢字"]
+    spectrum = lambda t: {t[a : a + n] for n in (1, 2, 3) for a in range(len(t) - n + 1)}
+    kernel = lambda x, y: np.array([[len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b))) for b in y] for a in x])
+    train, test = [spectrum(t.lower()) for _, t in rows], [spectrum(t.lower()) for t in asked]
+    marks = [train[k] for lang in ("de", "en") for k in [k for k, (x, _) in enumerate(rows) if x == lang][:10]]
+    own, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors / np.sqrt(own)
+    z = kernel(train, marks) @ root
+    y = np.array([[1.0 if x == lang else -1.0 for lang in ("de", "en")] for x, _ in rows])
+    want = kernel(test, marks) @ root @ np.linalg.solve(z.T @ z + 0.01 * np.eye(20), z.T @ y)
+    scorer = language.Scorer(language.fit(rows, landmarks=10, ridge=0.01, held=False))
+    scores, share, grams = scorer(asked)
+    assert np.allclose(scores, want, atol=1e-5)
+    known = set().union(*marks)
+    assert np.allclose(share, [len(t & known) / max(1, len(t)) for t in test]) and grams.tolist() == [len(t) for t in test]
+    lang, top, lead, ok = language.verdicts(np.array([[0.5, 0.5], [0.1, 0.9]]), np.ones(2), np.array([9, 9]), ["ab", "ab"], ["de", "en"], {}, 0.2, 0.0)
+    assert lang == ["de", "en"] and ok.tolist() == [False, True]
 
 
 def thue_morse():
@@ -304,7 +332,7 @@ def test_suffix_automaton():
 def test_bpe_equals_merging(spark):
     import tiktoken
 
-    tokens = bpe.load_tokens()
+    tokens = bpe.load_tokens("/opt/tokenizers/" + bpe.VOCABULARY)
     r = random.Random(7)
     texts = ["".join(r.choices("ab the ing tion 's'll  \n\t123éß漢😀!?-_", k=r.randint(0, 300))) for _ in range(300)] + [None, "", "a" * 5000, "".join(r.choices("etaoinshrdlu", k=3000)), "漢字かな交じり文" * 200, *thue_morse(), " " * 3000, "it's they'll I'VE  x"]
     pattern = __import__("public_tokenizers").PATTERN
