@@ -111,6 +111,7 @@ def test_warc_links(spark):
     meta, text = made["metadata"], made["conversion"]
     assert {meta.refers_to, text.refers_to} == {source.record_id} and meta.concurrent_to == text.record_id and text.concurrent_to == meta.record_id
     assert f"source-payload-digest: {source.payload_digest}" in meta.content and "outlink: http://o/1" in meta.content
+    assert "source-http: HTTP/1.1 200 OK\r\nsource-http: Content-Type: text/html" in meta.content and "\r\ntitle: T & x\r\n" in meta.content
     assert text.content == "T & x\nOne <b>\nTwo"
     raw = bytes(warc.serialized(warc.derivatives(responses)).where(F.col("record_id") == text.record_id).first().record)
     head, _, body = raw.partition(b"\r\n\r\n")
@@ -119,6 +120,15 @@ def test_warc_links(spark):
     assert f"WARC-Refers-To: {source.record_id}".encode() in head
 
 
+def test_warc_references(spark):
+    import html
+
+    same = "&amp;lt; &#x1F600; &#150;&#x96; &nosuch; &CounterClockwiseContourIntegral; a&b;&; &Tab;y&NewLine;z &notin; &not; &hellip;; &&amp;& " + " ".join(f"&{n}" for n in html.entities.html5 if n.endswith(";") and n not in ("nbsp;", "NonBreakingSpace;"))
+    rows = [(same,), ("&#0; &#xD800; &#99999999; &amp &nbsp;&#160;.",), ("",), (None,)]
+    got = [x[0] for x in spark.createDataFrame(rows, "s string").select(warc.decoded(F.col("s"))).collect()]
+    assert got == [html.unescape(same), "&#0; &#xD800; &#99999999; &amp   .", "", None]
+
+
 def test_histogram_sort(spark):
     r = random.Random(3)
     rows = [(r.choice((r.randrange(10**12), r.randrange(1000))), "x" * r.randrange(200)) for _ in range(3000)] + [(None, "y" * 50)] * 2
