@@ -3,8 +3,9 @@
 A signature has 128 bits: each the sign of a sum over the document's distinct words, weighted with the fourth root of
 their counts. Signatures within 2 m - 1 bits, cut into m segments, agree in some segment but for one bit at most. So each
 segment is indexed once for each of its bits, with that bit left out; equal variants join, and the full distance is
-verified. The variants are made after the exchange, which moves a signature once for each third of a segment. The search is
-exact: every pair within ``distance`` bits is found, once. Documents of equal signature take part
+verified. The variants are made after the exchange, which moves a signature once for each third of a segment. Where more
+signatures come together than ``ROUTE_ROWS``, they are cut into blocks, and each two blocks meet in a task of their own. The
+search is exact: every pair within ``distance`` bits is found, once. Documents of equal signature take part
 once, by their least ``doc_id``; the pairs' connected components are the groups, whose least ``doc_id`` stays.
 
 Cases: a null or empty text, or one without a letter or digit, has no signature and is in no group; a null ``doc_id``
@@ -31,6 +32,9 @@ BITS, DISTANCE = 128, 17
 #: Parts of a segment by which signatures are brought together, rows that are matched at once, and pairs verified at once.
 PARTS, MEETING, PAIRS = 3, 50_000, 500_000
 
+#: Rows of a block of those that come together.
+ROUTE_ROWS = 50_000
+
 
 def signatures_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the texts that have words, and two 64-bit halves for each."""
@@ -99,15 +103,23 @@ def near_signatures(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     hi, lo = (F.array(*(F.lit(_signed(m[j])) for m in fixed)) for j in (0, 1))
     routed = distinct.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))))
     route = F.hash("part", F.col("hi").bitwiseAND(F.get(hi, "part")), F.col("lo").bitwiseAND(F.get(lo, "part")))
-    met = routed.select(route.alias("route"), F.col("part").cast("byte").alias("part"), "id", "hi", "lo").repartition("route").sortWithinPartitions("route")
+    met = routed.select(route.alias("route"), F.col("part").cast("byte").alias("part"), "id", "hi", "lo", F.lit(0).alias("own"), F.lit(False).alias("cross"), F.lit(0).alias("block"))
+    large = cut(met.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / ROUTE_ROWS).cast("int").alias("k")).where("k > 1"))
+    if large.limit(1).count():
+        # a row meets those of its own block, and of each other one
+        cuts = met.join(large, "route", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), "k").cast("int"), F.lit(0)))
+        other = cuts.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1)))
+        block = F.least("own", "other") * F.coalesce("k", F.lit(1)) + F.greatest("own", "other")
+        met = other.withColumn("cross", F.col("own") != F.col("other")).withColumn("block", block).select(*met.columns)
+    met = met.repartition("route", "block").sortWithinPartitions("route", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)])
             if sum(len(x[0]) for x in held) >= MEETING:
                 rows = [np.concatenate(x) for x in zip(*held)]
-                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                last = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[7] != rows[7][-1]))[-1:].sum() + 1) if (rows[0][0], rows[7][0]) != (rows[0][-1], rows[7][-1]) else 0
                 held = [[x[last:] for x in rows]]
                 yield from _near([x[:last] for x in rows], parts, edges, distance)
         if held:
@@ -117,9 +129,9 @@ def near_signatures(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _near(rows: list[np.ndarray], parts: list[tuple[int, int, int]], edges: list[int], distance: int) -> Iterator[pa.RecordBatch]:
-    """The near pairs among rows of whole routes, each from the first segment that it agrees in but for one bit."""
-    route, part, ident = rows[0], rows[1].astype(np.int64), rows[2]
-    hi, lo = rows[3].view(np.uint64), rows[4].view(np.uint64)
+    """The near pairs among rows of whole blocks, each from the first segment that it agrees in but for one bit."""
+    part, ident, own_block, cross = rows[1].astype(np.int64), rows[2], rows[5], rows[6]
+    hi, lo, block = rows[3].view(np.uint64), rows[4].view(np.uint64), rows[7].astype(np.uint64)
     segments = np.array([_halves((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:])], np.uint64)
     segment_of, begin, end = (np.array(x) for x in zip(*parts))
     for j in range(int((end - begin).max())):
@@ -129,7 +141,7 @@ def _near(rows: list[np.ndarray], parts: list[tuple[int, int, int]], edges: list
             continue
         masks = segments[segment_of] & ~np.array(wild, np.uint64)
         p = part[which]
-        key = tn.mix(tn.mix(hi[which] & masks[p, 0], j) ^ (lo[which] & masks[p, 1]) ^ (p.astype(np.uint64) << np.uint64(56)))
+        key = tn.mix(tn.mix(hi[which] & masks[p, 0], j) ^ (lo[which] & masks[p, 1]) ^ (p.astype(np.uint64) << np.uint64(56)) ^ tn.mix(block[which], 3))
         order = np.argsort(key, kind="stable")
         which, key = which[order], key[order]
         # each row meets those after it in its run of equal keys
@@ -142,6 +154,8 @@ def _near(rows: list[np.ndarray], parts: list[tuple[int, int, int]], edges: list
             x = np.repeat(which[done:most], n)
             y = which[tn.gather(np.arange(done, most) + 1, n)]
             done = most
+            due = (own_block[x] != own_block[y]) == cross[x]
+            x, y = x[due], y[due]
             dh, dl = hi[x] ^ hi[y], lo[x] ^ lo[y]
             good = np.flatnonzero(np.bitwise_count(dh).astype(np.int64) + np.bitwise_count(dl) <= distance)
             x, y, dh, dl = x[good], y[good], dh[good], dl[good]
@@ -153,7 +167,8 @@ def _near(rows: list[np.ndarray], parts: list[tuple[int, int, int]], edges: list
             differs = ((dh & masks_of[:, 0]) | (dl & masks_of[:, 1])) != 0
             own = errors[np.arange(len(x)), k]
             first = (errors <= 1).argmax(1) == k
-            keep = first & np.where(own == 0, bit == np.array(edges)[k], (own == 1) & differs) & (ident[x] != ident[y])
+            same = (block[x] == block[y]) & (cross[x] == cross[y])
+            keep = same & first & np.where(own == 0, bit == np.array(edges)[k], (own == 1) & differs) & (ident[x] != ident[y])
             if keep.any():
                 a, b = ident[x[keep]], ident[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])

@@ -234,6 +234,32 @@ def test_outliers(spark):
     assert sum(got[k] for k, *_ in good) <= 6
 
 
+def test_covariance_determinant_exhaustively(spark):
+    """The least determinant over all subsets of 12 of 16 vectors, where medians alone lead elsewhere; ties and a constant group."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(21)
+    factor, rows, want = outliers._consistency(0.75), [], {}
+    for k in range(8):
+        x = rng.normal(0.5, 0.1, (16, outliers.P))
+        x[12:] += rng.normal(0.6, 0.05, (4, outliers.P)) * (k % 4) / 3
+        if k == 7:
+            x[:] = x[0]
+        rows += [(str(k), *map(float, v)) for v in x]
+        want[str(k)] = min(outliers._covariance(x[list(c)], np.ones(12), factor)[2] for c in combinations(range(16), 12))
+    points = spark.createDataFrame(rows, ", ".join(["g string", *(f"{c} double" for c in outliers.X)]))
+    got = {x.g: x.logdet for x in outliers.estimates(points).collect()}
+    assert set(got) == set(want)
+    assert all(got[g] < want[g] + 0.05 for g in want) and all(got[g] > want[g] - 0.05 for g in want), [(g, got[g], want[g]) for g in want]
+
+
+def test_outlier_groups(spark):
+    """A group of 50 documents has its own estimates, one of 49 those of its language."""
+    rows = [(k, prose(random.Random(k), 30), "en", "a" if k < 50 else "b") for k in range(99)]
+    got = outliers.grouped(outliers.statistics(docs(spark, rows), ["doc_id", "lang", "source"])).select("source", "g").distinct().collect()
+    assert {x.source: x.g for x in got} == {"a": "=en\x1f=a", "b": "=en"}
+
+
 def test_outliers_counts():
     got = dict(zip(outliers.COUNTS, outliers.counts_of(["Ab c1 ab c1 ab\nxy\nxy", None])[0].tolist()))
     assert got == {"solid": 14, "letters": 12, "capitals": 1, "numbers": 2, "words": 7, "again": 1, "rows": 3, "same": 1}
@@ -408,8 +434,10 @@ def near_by_hand(rows, distance):
     return {(min(a, b), max(a, b)) for n, (a, x) in enumerate(rows) for b, y in rows[:n] if (x ^ y).bit_count() <= distance}
 
 
-@pytest.mark.parametrize("distance", [1, 3, 7, 13])
-def test_near_signatures(spark, distance):
+@pytest.mark.parametrize("distance, rows_of_block", [(1, None), (3, None), (7, 10), (13, None), (simhash.DISTANCE, None), (simhash.DISTANCE, 7)])
+def test_near_signatures(spark, monkeypatch, distance, rows_of_block):
+    if rows_of_block:
+        monkeypatch.setattr(simhash, "ROUTE_ROWS", rows_of_block)
     r = random.Random(distance)
     rows = []
     for k in range(60):
@@ -423,6 +451,29 @@ def test_near_signatures(spark, distance):
     assert len(got) == len(set(got)) and set(got) == near_by_hand(rows, distance)
 
 
+def test_signatures_by_hand():
+    """Signs of weighted sums over distinct words, ties included."""
+    from plumbline.llm import textnum as tn
+
+    texts = ["oak oak elm", "elm! ash", "x", "...", "Fir fir FIR oak yew", None]
+    rows, halves = simhash.signatures_of(texts)
+    assert rows.tolist() == [0, 1, 2, 4]
+    for r, got in zip(rows, halves.view(np.uint64)):
+        words = re.findall(r"\w+", texts[r].lower())
+        want = [0, 0]
+        total = {}
+        for w in set(words):
+            h = tn.words([w])[3] >> np.uint64(24)
+            weight = np.float32(words.count(w) ** 0.25)
+            for half in (0, 1):
+                bits = int(tn.mix(h, half + 1)[0])
+                for b in range(64):
+                    total[half, b] = total.get((half, b), 0) + (weight if bits >> b & 1 else -weight)
+        for (half, b), x in total.items():
+            want[half] |= int(x >= -1e-6) << b
+        assert got.tolist() == want
+
+
 def test_simhash_groups(spark):
     r = random.Random(9)
     base = [prose(r, 12) + " " + " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(10)]
