@@ -3,11 +3,14 @@
 A document's statistics are counts over all of its text: letters, capitals and words among characters, words with
 digits, repeated words and repeated lines. They become shares, drawn towards the group's own share as if ``PRIOR`` more characters or words
 had been seen, and then arcsines of roots, whose variance doesn't depend on the share. Of each group's vectors the MCD seeks
-the ``PART`` with the least determinant of covariance. The search starts from medians and scales by median deviations, and
-goes on by concentration steps: distances, the part that is nearest, its mean and covariance, until no group's determinant
-falls by more than ``STILL``. A step is one pass over the narrow table of vectors that sums products by group and by interval
-of distance, in the JVM with map-side combining; the rest works on a row for each group. A document is rejected if its squared
-Mahalanobis distance is beyond the chi-squared quantile of ``LEVEL``.
+the ``PART`` with the least determinant of covariance, to which ``FLOOR`` squared is added in every direction (the regularized
+form, which is defined where a group doesn't vary). The search is that of the fast algorithm: concentration steps (distances,
+the part that is nearest, its mean and covariance) from ``STARTS`` random starts and from medians on a bounded sample of the
+group, then from the best ``BEST`` of these over all of its vectors, until no determinant falls by more than ``STILL``; the
+least is taken. A step over all is one pass over the narrow table of vectors that sums products by group, start and interval of
+distance, in the JVM with map-side combining; the rest works on a row for each group. The interval that completes the part
+counts with the weight that it needs for that. A document is rejected if its squared Mahalanobis distance is beyond the
+chi-squared quantile of ``LEVEL``.
 
 A group of fewer than ``LEAST_ROWS`` documents takes its language's estimates over all sources; a language of fewer takes
 those of all documents. If these are fewer, nothing is rejected and the distance is null. Every coordinate's variance has a
@@ -22,18 +25,22 @@ interval, which the nearest part has or lacks as a whole; repeated rows count an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
 from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, small, table
 
-PART, LEVEL, LEAST_ROWS, PRIOR, FLOOR, STILL, MOST_STEPS = 0.75, 0.9999, 50, 60, 0.03, 1e-3, 20
+PART, LEVEL, LEAST_ROWS, PRIOR, FLOOR, STILL = 0.75, 0.9999, 50, 60, 0.03, 1e-3
+
+#: Vectors of a group from which starts are made, starts, those that have more than two steps on these, and those that go on over all.
+SAMPLE, STARTS, LONGER, BEST = 500, 150, 10, 2
 
 #: (name, count, out of)
 SHARES = (("letters", "letters", "solid"), ("capitals", "capitals", "letters"), ("numbers", "numbers", "words"), ("words", "words", "solid"), ("repeated", "again", "words"), ("lines", "same", "rows"))
@@ -43,7 +50,7 @@ X = tuple(f"x{k}" for k in range(P))
 PAIRS = tuple(combinations_with_replacement(range(P), 2))
 
 #: Intervals of distance in a factor of e.
-FINE = 12
+FINE = 200
 
 
 def counts_of(texts: list) -> np.ndarray:
@@ -129,20 +136,55 @@ def _solved(covariance: np.ndarray) -> tuple[list[float], float]:
     return [float(inverse[i, j]) for i, j in PAIRS], float(np.linalg.slogdet(covariance)[1])
 
 
-ESTIMATE = "g string, m array<double>, s array<double>, logdet double, cut int"
+ESTIMATE = "g string, start int, m array<double>, s array<double>, logdet double, cut int"
+
+
+def _covariance(x: np.ndarray, weight: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, covariance with its factor and floor, and log determinant, of weighted rows."""
+    n = weight.sum()
+    m = weight @ x / n
+    c = factor * ((x - m).T * weight) @ (x - m) / n + FLOOR**2 * np.eye(x.shape[1])
+    return m, c, float(np.linalg.slogdet(c)[1])
+
+
+def _step(x: np.ndarray, m: np.ndarray, c: np.ndarray, part: float, factor: float) -> tuple[np.ndarray, np.ndarray, float]:
+    d = ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+    weight = np.zeros(len(x))
+    weight[np.argsort(d, kind="stable")] = np.clip(part * len(x) - np.arange(len(x)), 0, 1)
+    return _covariance(x, weight, factor)
+
+
+def best_starts(x: np.ndarray, part: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The BEST estimates from concentration steps over few vectors: from medians, and from random subsets of one more than
+    the dimensions."""
+    rng, factor = np.random.default_rng(seed), _consistency(part)
+    middle = np.median(x, axis=0)
+    spread = 1.4826 * np.median(np.abs(x - middle), axis=0)
+    found = [(middle, np.diag(spread**2 + FLOOR**2), np.inf)]
+    for _ in range(STARTS):
+        some = x[rng.permutation(len(x))[: x.shape[1] + 1]]
+        found.append(_covariance(some, np.ones(len(some)), 1.0))
+    for _ in range(2):
+        found = [_step(x, m, c, part, factor) for m, c, _ in found]
+    done: list = []
+    for now in sorted(found, key=lambda e: e[2])[:LONGER]:
+        while (new := _step(x, *now[:2], part, factor))[2] < now[2] - STILL / 10:
+            now = new
+        if all(np.abs(now[0] - e[0]).max() > 1e-9 or abs(now[2] - e[2]) > 1e-9 for e in done):
+            done.append(now)
+    return sorted(done, key=lambda e: e[2])[:BEST]
 
 
-def _start(points: DataFrame) -> DataFrame:
-    """Medians, and scales by median absolute deviations, as estimates without correlation."""
-    medians = points.groupBy("g").agg(F.array(*(F.percentile_approx(x, 0.5, 1000) for x in X)).alias("m"))
-    off = points.join(medians, "g").groupBy("g", "m").agg(F.array(*(F.percentile_approx(F.abs(F.col(x) - F.get("m", F.lit(k))), 0.5, 1000) for k, x in enumerate(X))).alias("a"))
+def _start(points: DataFrame, part: float) -> DataFrame:
+    """The starts of each group, from the SAMPLE vectors with the lowest hash."""
+    order = Window.partitionBy("g").orderBy(F.xxhash64(*X), *X)
+    few = points.select("g", *X).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= SAMPLE).drop("_k")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [_solved(np.diag((1.4826 * np.asarray(a)) ** 2 + FLOOR**2)) for a in batch["a"]]
-            yield pd.DataFrame({"g": batch["g"], "m": batch["m"], "s": [x for x, _ in made], "logdet": np.inf, "cut": 0})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = best_starts(rows[list(X)].to_numpy(), part)
+        return pd.DataFrame({"g": [rows["g"].iloc[0]] * len(found), "start": range(len(found)), "m": [m for m, _, _ in found], "s": [_solved(c)[0] for _, c, _ in found], "logdet": np.inf, "cut": 1})
 
-    return off.mapInPandas(run, ESTIMATE)
+    return few.groupBy("g").applyInPandas(run, ESTIMATE)
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -170,37 +212,40 @@ def _consistency(part: float) -> float:
 
 def _concentrated(points: DataFrame, old: DataFrame, part: float) -> DataFrame:
     """The estimates from the nearest ``part`` of each group, by the distances of ``old``."""
-    near = points.join(old.select("g", "m", "s", F.col("logdet").alias("before")), "g")
+    near = points.join(old.select("g", "start", "m", "s", F.col("logdet").alias("before")), "g")
     d = _distance([F.get("m", F.lit(k)) for k in range(P)], [F.get("s", F.lit(k)) for k in range(len(PAIRS))])
     binned = near.withColumn("b", F.ceil(F.log(d + 1e-6) * FINE).cast("int"))
     sums = [F.sum(x).alias(f"s{k}") for k, x in enumerate(X)] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{k}") for k, (i, j) in enumerate(PAIRS)]
-    by = binned.groupBy("g", "before", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
+    by = binned.groupBy("g", "start", "before", "b").agg(F.count(F.lit(1)).alias("n"), *sums)
     factor = _consistency(part)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("b")
-        upto = int(np.searchsorted(rows["n"].cumsum().to_numpy(), part * rows["n"].sum())) + 1
-        used = rows.iloc[:upto]
-        n = used["n"].sum()
-        m = used[[f"s{k}" for k in range(P)]].sum().to_numpy() / n
+        n = rows["n"].to_numpy(float)
+        weight = np.clip((part * n.sum() - (np.cumsum(n) - n)) / n, 0, 1)
+        whole = weight @ n
+        m = weight @ rows[[f"s{k}" for k in range(P)]].to_numpy() / whole
         c = np.zeros((P, P))
         for k, (i, j) in enumerate(PAIRS):
-            c[i, j] = c[j, i] = used[f"p{k}"].sum() / n - m[i] * m[j]
+            c[i, j] = c[j, i] = weight @ rows[f"p{k}"].to_numpy() / whole - m[i] * m[j]
         s, logdet = _solved(c * factor + FLOOR**2 * np.eye(P))
         fell = rows["before"].iloc[0] - logdet > STILL
-        return pd.DataFrame({"g": [rows["g"].iloc[0]], "m": [m], "s": [s], "logdet": [logdet], "cut": [int(fell)]})
+        return pd.DataFrame({"g": [rows["g"].iloc[0]], "start": [rows["start"].iloc[0]], "m": [m], "s": [s], "logdet": [logdet], "cut": [int(fell)]})
 
-    return by.groupBy("g").applyInPandas(solve, ESTIMATE)
+    return by.groupBy("g", "start").applyInPandas(solve, ESTIMATE)
 
 
 def estimates(points: DataFrame, part: float = PART) -> DataFrame:
-    """(g, m, s, logdet, cut): the MCD of each group of ``points``, a row each; cut tells whether the last step still fell."""
-    found = cut(_start(points))
-    for _ in range(MOST_STEPS):
-        found = cut(_concentrated(points, found, part))
-        if not found.where("cut = 1").limit(1).count():
+    """(g, start, m, s, logdet, cut): the MCD of each group of ``points``, a row each."""
+    found, ended = cut(_start(points, part)), []
+    while True:
+        new = cut(_concentrated(points, found, part))
+        ended.append(new.where("cut = 0"))
+        found = new.where("cut = 1")
+        if not found.limit(1).count():
             break
-    return found
+    every = reduce(DataFrame.unionByName, ended)
+    return cut(every.groupBy("g").agg(F.min_by(F.struct(*[c for c in every.columns if c != "g"]), F.struct("logdet", "start")).alias("e")).select("g", "e.*"))
 
 
 def scored(docs: DataFrame, keep: list[str], level: float = LEVEL, part: float = PART, least_rows: int = LEAST_ROWS) -> DataFrame:
