@@ -1,20 +1,22 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of keys, or what is assigned in quotes to a name like ``password``. Its
-features are its length, its classes of characters and how they alternate, the likelihood of its character transitions
+A candidate is a run of 16 or more characters of keys, without a name that is assigned to in it; what is assigned, in quotes
+or not, to a name like ``password``, of 8 or more characters; or a password in a URL. Where these overlap, the narrower kind
+counts: URL, assignment, run. Its features are its length, its classes of characters and how they alternate, the likelihood of its character transitions
 in words, the part of it that dictionary words cover, the path it stands in, and the words next to it. The forest is
 trained on labelled findings (candidate, path, before, after, label): ``labelled_findings`` makes them from the forms
 that credentials, and what is mistaken for them, have; a table of reviewed findings can be given instead, of which the
-first ``MOST_LABELLED`` in order are used. Scanning is one narrow pass without shuffle.
+first ``MOST_LABELLED`` in order are used. What is trained on is seen as in scanning: each finding is set into a text, and
+candidates are sought there. Scanning is one narrow pass without shuffle.
 
-The dictionary is the alphabetic entries of a public vocabulary, whose path is a parameter; without the file the
-coverage is 0 everywhere, in training too.
+The dictionary is the alphabetic entries of a public vocabulary, a file in the folder of the setting
+spark.plumbline.tokenizers; a missing file is an error.
 
 Cases: null or empty text has no candidates; a null source is an empty path; texts and candidates of any length are
 scanned whole; a tie in votes (a score of exactly one half) is a secret; repeated rows are reported each; a null
 ``doc_id`` stays null; labels of one class give that class always, no labels at all give score 1 (every candidate is
 kept); an empty table gives no rows; further columns are not read. Secrets are not in the result: only where they are,
-and a fingerprint.
+and a fingerprint, made with a key (the setting spark.plumbline.fingerprint.key), so that short ones can't be guessed from it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import os
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import column, small, table
+from plumbline.llm.common import column, small, table, tokenizers
 
-DICTIONARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+DICTIONARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Trees, their depth, the least rows of a leaf, and the most labelled findings that are trained on.
 TREES, DEPTH, LEAF, MOST_LABELLED = 40, 10, 3, 20_000
@@ -43,8 +46,11 @@ TREES, DEPTH, LEAF, MOST_LABELLED = 40, 10, 3, 20_000
 NEAR = 40
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
-_QUOTED = re.compile(r"""[:=]\s{0,3}["']([^"'\s]{8,})["']""")
-_NAMED = re.compile(r"""(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api_?key|auth)["']?\s{0,3}$""")
+_NAME_OF = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*=(?==?[^=]{8})")
+_ASSIGNED = re.compile(
+    r"""(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|auth|credential)[\w-]{0,20}["']?\s{0,3}[:=]=?\s{0,3}(?:"([^"\s]{8,})"|'([^'\s]{8,})'|([^\s"'<>,;]{8,}))"""
+)
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/@]{1,100}:([^\s/@]{8,})@")
 
 SECRET_WORDS = re.compile(r"(?i)token|secret|passw|pwd|api|key|auth|bearer|credential|private|login|access")
 HASH_WORDS = re.compile(r"(?i)sha\d*|md5|commit|checksum|digest|hash|revision|uuid|guid|integrity|etag|blob|build|http")
@@ -59,9 +65,7 @@ FEATURES = (
 )
 
 
-def dictionary(path: str = DICTIONARY, least: int = 4) -> frozenset[str]:
-    if not os.path.exists(path):
-        return frozenset()
+def dictionary(path: str, least: int = 4) -> frozenset[str]:
     with open(path, "rb") as f:
         words = (base64.b64decode(line.split()[0]).strip().lower() for line in f)
         return frozenset(w.decode() for w in words if len(w) >= least and w.isalpha() and w.isascii())
@@ -155,10 +159,10 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def labelled_findings(n: int = 4000, seed: int = 11, words: frozenset[str] | None = None) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(words: frozenset[str], n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
     """(candidate, path, before, after, label) in the forms that credentials, and what is taken for them, have."""
     r = random.Random(seed)
-    known = sorted(dictionary() if words is None else words) or ["common", "letter", "system", "people", "number"]
+    known = sorted(words)
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     make = lambda chars, k: "".join(r.choices(chars, k=k))
     word = lambda: r.choice(known)
@@ -169,7 +173,16 @@ def labelled_findings(n: int = 4000, seed: int = 11, words: frozenset[str] | Non
     for k in range(n):
         path, before, after = r.choice(paths), prose(), " " + prose()
         if k % 2:
-            form = r.randrange(7)
+            form = r.randrange(9)
+            if form >= 7:
+                secret = make(alnum + "!#$%&*?^", r.randint(8, 20)) if r.random() < 0.6 else word().capitalize()[:10] + r.choice("!#$%&_-") + make(string.digits, r.randint(2, 5)) + make(alnum, r.randint(2, 6))
+                if form == 7:
+                    lead, close = r.choice(("{}: ", "{}=", "{} = ", '{}: "')).format(r.choice(("password", "DB_PASSWORD", "passwd", "pwd", "secret", "auth_token", "SECRET_KEY"))), ""
+                    close = lead[-1] if lead[-1] == '"' else ""
+                else:
+                    lead, close = r.choice(("postgres", "https", "mysql", "amqp", "redis")) + "://" + word() + ":", "@" + word() + r.choice((".com/", ":5432/", ".internal/")) + word()
+                out.append((secret, path, (before + r.choice(" \n") + lead)[-NEAR:], (close + after)[:NEAR], 1))
+                continue
             secret = [
                 make(hexa, r.choice((32, 40, 64))), "AKIA" + make(string.ascii_uppercase + string.digits, 16), "ghp_" + make(alnum, 36), make(alnum + "+/", r.choice((40, 44, 64))),
                 "sk_live_" + make(alnum, 24), make(alnum, r.randint(20, 48)), make(alnum + "-_", r.randint(16, 40)),
@@ -182,8 +195,13 @@ def labelled_findings(n: int = 4000, seed: int = 11, words: frozenset[str] | Non
             close = lead[-1] if lead[-1:] in ("'", '"') else ""
             out.append((secret, path, (before + r.choice(" \n") + lead)[-NEAR:], (close + after)[:NEAR], 1))
             continue
-        form = r.randrange(9)
-        if form == 0:
+        form = r.randrange(11)
+        if form == 9:
+            candidate = r.choice(("required", "undefined", "process.env.SECRET", "getpass.getpass()", "{{password}}", "${DB_PASSWORD}", "********", "xxxxxxxx", "changeme", "<password>", "not_shown", word() + word(), word() + "_" + word()))
+            before += " " + r.choice(("password: ", "token: ", "secret = ", "auth: ", "pwd=", 'password = "', "api_key: "))
+        elif form == 10:
+            candidate, before, after = r.choice(("password", "changeme", "PASSWORD", "your-password", "$PASSWORD", "example1")), before + " " + r.choice(("postgres", "https")) + "://user:", "@" + r.choice(("localhost", "example.com", "host")) + after
+        elif form == 0:
             candidate, before = make(hexa, 40), before + r.choice((" commit ", " revision ", " sha1: ", " checksum = "))
         elif form == 1:
             candidate, before = make(hexa, r.choice((32, 64))), before + r.choice((" md5: ", " sha256:", " digest ", ' integrity="', " etag: "))
@@ -205,12 +223,23 @@ def labelled_findings(n: int = 4000, seed: int = 11, words: frozenset[str] | Non
         else:
             candidate, path = make(alnum, r.randint(20, 40)), r.choice(("tests/fixtures/a.py", "docs/example.md", "package-lock.json"))
             before += ' {} = "'.format(r.choice(names))
-        size = max(16, len(candidate))
-        candidate = candidate if len(candidate) >= 16 else (candidate * size)[:size]
+        if form < 9 and len(candidate) < 16:
+            candidate = (candidate * 16)[:16]
         out.append((candidate, path, before[-NEAR:], after[:NEAR], 0))
     return out
 
 
+def seen(findings: list[tuple]) -> list[tuple[str, str, str, str, int]]:
+    """``findings`` as scanning meets them: the candidates of before, candidate and after together that lie in the candidate."""
+    out = []
+    for candidate, path, before, after, label in findings:
+        text, low = before + candidate + after, len(before)
+        for a, b in candidates(text):
+            if a < low + len(candidate) and b > low:
+                out.append((text[a:b], path, text[max(0, a - NEAR) : a], text[b : b + NEAR], label))
+    return out
+
+
 def train(findings: list[tuple], words: frozenset[str]) -> Forest | None:
     if not findings:
         return None
@@ -220,8 +249,22 @@ def train(findings: list[tuple], words: frozenset[str]) -> Forest | None:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Where candidates begin and end, in order; runs that letters beyond ASCII or digits adjoin are parts of words."""
-    found = set()
+    """Where candidates begin and end, in order, without overlaps; runs that letters beyond ASCII or digits adjoin are parts of words."""
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def add(a: int, b: int) -> None:
+        k = bisect_left(ends, a + 1)  # the first that ends beyond a
+        if k == len(starts) or starts[k] >= b:
+            starts.insert(k, a), ends.insert(k, b)
+
+    for m in _URL.finditer(text):
+        add(*m.span(1))
+    for m in _ASSIGNED.finditer(text):
+        a, b = m.span(m.lastindex)
+        while b - a > 8 and text[b - 1] in ".!?)":
+            b -= 1
+        add(a, b)
     for m in _RUN.finditer(text):
         a, b = m.span()
         while b > a and text[b - 1] == ".":
@@ -229,18 +272,19 @@ def candidates(text: str) -> list[tuple[int, int]]:
         while a < b and text[a] == ".":
             a += 1
         if b - a >= 16 and not (a and text[a - 1].isalnum()) and not text[b : b + 1].isalnum():
-            found.add((a, b))
-    for m in _QUOTED.finditer(text):
-        if _NAMED.search(text[max(0, m.start() - 20) : m.start()]) and not any(a <= m.start(1) and m.end(1) <= b for a, b in found):
-            found.add(m.span(1))
-    return sorted(found)
+            if name := _NAME_OF.match(text, a, b):
+                a = name.end()
+            add(a, b)
+    return list(zip(starts, ends))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, vocabulary: str = DICTIONARY) -> DataFrame:
     """(doc_id, start, end, score, is_secret, fingerprint) of every candidate; places are in characters of ``text``."""
-    words = dictionary(vocabulary)
+    spark = docs.sparkSession
+    words = dictionary(os.path.join(tokenizers(spark), vocabulary))
+    secret = spark.conf.get("spark.plumbline.fingerprint.key", "plumbline").encode()[:64]
     if findings is None:
-        rows = labelled_findings(words=words)
+        rows = seen(labelled_findings(words))
     else:
         parts = ["coalesce(cast({} as string), '') as {}".format(c, c) for c in ("candidate", "path", "before", "after")]
         known = findings.selectExpr(*parts, "cast(label as int) as label").where("candidate <> '' and label is not null")
@@ -256,7 +300,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, vocabulary: str = D
                 for a, b in candidates(text) if text else ():
                     row.append(k), starts.append(a), ends.append(b)
                     x.append(features(text[a:b], path or "", text[max(0, a - NEAR) : a], text[b : b + NEAR]))
-                    prints.append(hashlib.sha256(text[a:b].encode()).hexdigest())
+                    prints.append(hashlib.blake2b(text[a:b].encode(), key=secret, digest_size=16).hexdigest())
             if row:
                 score = np.ones(len(row)) if forest is None else forest(np.array(x))
                 yield pa.RecordBatch.from_arrays(

@@ -201,20 +201,41 @@ def test_decontamination(spark):
 
 
 def test_secrets_held_out():
-    words = secrets.dictionary()
-    forest = secrets.train(secrets.labelled_findings(words=words), words)
-    held, features = secrets.labelled_findings(1500, seed=77, words=words), secrets.Features(words)
+    words = secrets.dictionary("/opt/tokenizers/" + secrets.DICTIONARY)
+    forest = secrets.train(secrets.seen(secrets.labelled_findings(words)), words)
+    held, features = secrets.seen(secrets.labelled_findings(words, 1500, seed=77)), secrets.Features(words)
     score = forest(np.array([features(*x[:4]) for x in held]))
     label = np.array([x[4] for x in held])
-    assert ((score >= 0.5) == label).mean() > 0.97
+    assert ((score >= 0.5) == label).mean() > 0.95
+    assert (forest(np.zeros((2, len(secrets.FEATURES)))) <= 1).all()
 
 
 def test_secrets_found(spark):
     key = "4f9c1a77e0b34d5588aa12cc90de6f3b1c2d4e5f"
     texts = [f'call token = "{key}" now', f"at commit {key} we", "see theinternationalizationofeverything here", 'password: "hunter2hunter2"']
-    got = {(x.doc_id, x.is_secret): x for x in secrets.scan(docs(spark, texts)).collect()}
-    assert (0, True) in got and texts[0][got[0, True].start : got[0, True].end] == key
-    assert (1, False) in got and (2, False) in got
+    texts += ["DB_PASSWORD: Tr0ub4dor&3xyz", "secret: p@ssW0rd!9#kLmN$22xyz", "postgres://admin:s3cr3tPass9x@db.host/prod", "API_TOKEN=9fQ2xLmZ81kdPq0RtYw3 ok", "password: required", "x" * 50_000 + ' token="aB3dE5gH7jK9"' * 2000]
+    got = {}
+    for x in secrets.scan(docs(spark, texts)).collect():
+        got.setdefault(x.doc_id, []).append((texts[x.doc_id][x.start : x.end], x.is_secret))
+    assert got[0] == [(key, True)] and got[1] == [(key, False)] and not got[2][0][1]
+    assert [got[k] for k in (4, 5, 6, 7)] == [[(x, True)] for x in ("Tr0ub4dor&3xyz", "p@ssW0rd!9#kLmN$22xyz", "s3cr3tPass9x", "9fQ2xLmZ81kdPq0RtYw3")]
+    assert got[8] == [("required", False)] and len(got[9]) == 2001
+
+
+def test_secrets_of_documents(spark):
+    """The findings that the tables' documents hold, none of which was trained on: each token is a secret, and what else is one is rare."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    want = {(k, *m.span(1)) for k, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    got = {(r.doc_id, r.start, r.end) for r in secrets.scan(d).where("is_secret").collect()}
+    assert len(want & got) >= 0.95 * len(want) > 0
+    assert len(want & got) >= 0.9 * len(got)
+
+
+def test_half_of_the_votes(spark):
+    forest = secrets.Forest(np.zeros((10, len(secrets.FEATURES))), np.array([0.0, 1.0] * 5), trees=1)
+    forest.trees = [(np.array([-1]), np.array([0.0]), np.array([-1]), np.array([-1]), np.array([0.5]))]
+    assert (forest(np.zeros((1, len(secrets.FEATURES)))) >= 0.5).all()
 
 
 def test_secrets_given_labels(spark):
