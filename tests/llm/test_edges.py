@@ -77,6 +77,89 @@ def test_pipeline_stages(spark):
         assert stage(spark, d, "").columns == list(DOCUMENT_COLUMNS)
 
 
+def test_pipeline_by_hand(spark, tmp_path):
+    """run's rows against plain loops: every stage on what the one before left."""
+    import random
+    import re
+
+    import tiktoken
+
+    from .test_methods import edited, levenshtein, prose
+
+    r = random.Random(22)
+    language_ = {"en": EN.split(), "de": DE.split()}
+    said = lambda lang, n: " ".join("".join(r.choices("aeiou", k=2)) + w for w in r.choices(language_[lang], k=n))
+    items = [prose(r, 14), "zebra quagga okapi gnu eland kudu oryx", "Yes"]
+    shared = [said("en", 9) for _ in range(6)]
+    rows = []
+    for k in range(90):
+        lang = "de" if k % 3 == 0 else "en"
+        lines = [said(lang, 10) for _ in range(r.randint(4, 7))]
+        if k % 5 == 0:
+            lines.insert(r.randrange(len(lines)), edited(r, r.choice(shared), r.randint(0, 2)))
+        if k % 7 == 0:
+            lines[1] += " " + r.choice(items[:2]).upper() + ", " + said(lang, 3)
+        rows.append((k, "\n".join(lines), lang, "s"))
+    near = rows[40][1].split()
+    rows += [(100, " ".join([*near[:20], "entirely", *near[21:]]), "en", "s"), (101, None, "en", "s"), (102, "", "en", "s"), (103, "漢字" * 50, None, "s"), (104, rows[3][1], "de", "s")]
+    full = docs(spark, rows)
+    full.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    # languages: by dense scores, tested elsewhere; here what is foreign or empty must have gone, and all else stayed
+    accepted = {x.doc_id for x in language.predict(full).where("accepted").collect()}
+    assert accepted.isdisjoint({101, 102, 103}) and len(accepted) >= 85
+    texts = {k: t for k, t, *_ in rows if k in accepted}
+    # lines
+    earlier: list = []
+    for k in sorted(texts):
+        kept = []
+        for line in texts[k].split("\n"):
+            x = line.strip()
+            if x and not any(x == y or (min(len(x), len(y)) > 2 and abs(len(x) - len(y)) < 3 and levenshtein(x, y) <= 2) for y in earlier):
+                kept.append(line)
+            elif not x:
+                kept.append(line)
+            earlier.append(x)
+        texts[k] = "\n".join(kept)
+    texts = {k: t for k, t in texts.items() if t.strip()}
+    assert 104 not in texts
+    # near duplicates
+    ids, halves = simhash.signatures_of([texts[k] for k in sorted(texts)])
+    sign = {sorted(texts)[i]: (int(a) & (1 << 64) - 1) | (int(b) & (1 << 64) - 1) << 64 for i, (a, b) in zip(ids, halves)}
+    leader = {k: k for k in sign}
+    for a in sorted(sign):
+        for b in sorted(sign):
+            if a < b and (sign[a] ^ sign[b]).bit_count() <= simhash.DISTANCE:
+                old, new = leader[b], leader[a]
+                leader = {k: min(old, new) if v in (old, new) else v for k, v in leader.items()}
+    texts = {k: t for k, t in texts.items() if leader.get(k, k) == k}
+    assert 100 not in texts
+    # benchmark passages
+    phrases = []
+    for item in items:
+        w = item.lower().split()
+        phrases += [w[j : j + decontaminate.WORDS] for j in range(max(1, len(w) - decontaminate.WORDS + 1))]
+    hits = 0
+    for k, t in texts.items():
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t)]
+        cut = set()
+        for p in phrases:
+            for j in range(len(words) - len(p) + 1):
+                if [x[2] for x in words[j : j + len(p)]] == p and len(p) >= decontaminate.LEAST:
+                    cut.update(range(words[j][0], words[j + len(p) - 1][1]))
+        hits += bool(cut)
+        texts[k] = "".join(c for i, c in enumerate(t) if i not in cut)
+    assert hits > 5
+    # token ids
+    tokens = bpe.load_tokens("/opt/tokenizers/" + bpe.VOCABULARY)
+    real = tiktoken.Encoding("own", pat_str=__import__("public_tokenizers").PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        assert got[k].token_ids == real.encode_ordinary(t) and got[k].n_bytes == len(t.encode()) and got[k].round_trip
+
+
 def test_warc_edges(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, None), (None, "u", ""), (3, "http://a", "<p>" + "y " * 50_000 + "</p>"), (3, "http://a", "<p>z</p>"), (3, "http://a", "<p>z</p>")]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id bigint, url string, html string, content string, headers string")
