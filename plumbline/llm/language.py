@@ -12,7 +12,8 @@ An n-gram is a number of 63 bits that its code points, in lower case, make up; s
 A document is rejected if it has no letter, if too few of its distinct n-grams are known from any landmark (another
 language or script, or no language), or if no language leads the next by enough. How much that is comes from the sample:
 of each half, pieces of 4 characters and more, and whole texts, are scored by a model of the other half; the share and the
-lead that all but ``HELD`` of those of a language and size have are asked of a text that is taken for it, and between two
+lead that all but ``HELD`` of those of a language and size have are asked of a text that is taken for it, with some slack, as
+so small a sample has not met the corpus's extremes (``SLACK``: more unknown n-grams, and a part of the lead); and between two
 sizes what lies between, by number of n-grams.
 ``least`` and ``margin`` are asked at least, and alone of languages with less than ``ENOUGH`` pieces of a size.
 
@@ -41,6 +42,8 @@ PLACES = 1 << 18
 LEAST, MARGIN = 0.2, 0.0
 #: The part of held-out pieces of a language and size that may lie below a limit, the pieces that a limit takes, and their characters.
 HELD, ENOUGH, PIECES = 0.005, 50, tuple(4 << k for k in range(9))
+#: Times the share of unknown n-grams, and the part of the lead, that make the limits.
+SLACK = 1.2, 0.25
 #: Documents that are scored in one product.
 BLOCK = 64
 
@@ -140,7 +143,7 @@ def limits(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     for (lang, _), values in sorted(found.items()):
         if len(values) >= ENOUGH:
             n, share, lead = zip(*values)
-            out.setdefault(lang, []).append((np.mean(n), np.quantile(share, HELD), np.quantile(lead, HELD)))
+            out.setdefault(lang, []).append((np.mean(n), 1 - SLACK[0] * (1 - np.quantile(share, HELD)), SLACK[1] * np.quantile(lead, HELD)))
     return {lang: tuple(np.array(c) for c in zip(*x)) for lang, x in out.items()}
 
 
