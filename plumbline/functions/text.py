@@ -140,7 +140,7 @@ def normal_country(name: Column) -> Column:
     known country at the end."""
     n = without_suffix(_unquoted(name))
     alias = lambda x: F.element_at(F.create_map(*(F.lit(v) for kv in COUNTRIES.items() for v in kv)), x)
-    bare = F.substring(n, 5, 1000)
+    bare = F.substring(n, F.lit(5), F.length(n))
     the = F.when(n.startswith("THE "), F.coalesce(alias(bare), F.when(bare.isin(*KNOWN), bare)))
     last = lambda names: F.nullif(F.regexp_extract(n, f"({'|'.join(names)})$", 1), F.lit(""))
     ends = F.coalesce(last(KNOWN), alias(last(COUNTRIES)))

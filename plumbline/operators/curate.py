@@ -69,16 +69,29 @@ def repaired_text(text: str, sentences: list[str]) -> tuple[str, str]:
 
 def repaired(cases: DataFrame, text: str = "text_nv", sentences: str = "leaking_sentences") -> DataFrame:
     """``cases`` with repaired text, repairs, length and exclusion. The repair is a fold with each row's own patterns, so it
-    runs in Python by batches, without a shuffle."""
+    runs in Python by batches, without a shuffle.
+
+    A repair that leaves less than LEAST_CHARS excludes the case and changes neither its text nor what is known of its length.
+    A case that is excluded stays so. ``method``, if there is such a column, gets the repairs appended; the part retained is
+    told anew where there is an ``original_length``. Null text counts as empty, null sentences as none."""
 
     @F.pandas_udf("text string, repairs string")
     def repair(t: pd.Series, s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([repaired_text(x or "", [] if y is None else list(y)) for x, y in zip(t, s)], columns=["text", "repairs"])
 
     rows = cases.withColumn("_r", repair(F.col(text), F.col(sentences)))
-    rows = rows.withColumn(text, F.col("_r.text")).withColumn("repairs", F.col("_r.repairs")).drop("_r")
-    short = F.length(text) < T.LEAST_CHARS
-    return rows.withColumns({"verdict_free_length": F.length(text), "excluded": short, "exclusion_reason": F.when(short, "too_short_after_repair")})
+    new, short = F.col("_r.text"), F.length("_r.text") < T.LEAST_CHARS
+    old = lambda c, other: F.col(c) if c in cases.columns else other
+    length = F.when(short, old("verdict_free_length", F.length(text))).otherwise(F.length(new))
+    made = {
+        text: F.when(short, F.col(text)).otherwise(new), "repairs": F.col("_r.repairs"), "verdict_free_length": length,
+        "excluded": short | F.coalesce(old("excluded", F.lit(False)), F.lit(False)), "exclusion_reason": F.when(short, "too_short_after_repair").otherwise(old("exclusion_reason", F.lit(None).cast("string"))),
+    }
+    if "method" in cases.columns:
+        made["method"] = F.concat_ws("; ", "method", F.nullif(F.col("_r.repairs"), F.lit("")))
+    if "original_length" in cases.columns:
+        made["retention"] = F.when(short, old("retention", T.retention(F.length(text), F.col("original_length")))).otherwise(T.retention(F.length(new), F.col("original_length")))
+    return rows.withColumns(made).drop("_r")
 
 
 def verified(cases: DataFrame, replies: DataFrame, key: str = "item_id") -> DataFrame:
@@ -89,13 +102,14 @@ def verified(cases: DataFrame, replies: DataFrame, key: str = "item_id") -> Data
 
 
 def clean_respondents(cases: DataFrame) -> DataFrame:
-    """``cases`` with the respondent's usual name; what needs it is taken from the case's name, and joint respondents are
-    each brought to their usual names."""
+    """``cases`` with the respondent's usual name; what needs it is taken from the case's name. Of a name with AND that isn't
+    several respondents the last part counts, if it is a country; several respondents stay as they are. Null stays null."""
     r, found = F.col("respondent"), T.extracted_respondent(F.col("case_name"))
     name = F.when(T.needs_extraction(r), F.coalesce(found, r)).otherwise(r)
-    rows = cases.withColumn("_n", T.normal_country(name))
-    each = F.array_join(F.transform(F.split("_n", " AND "), lambda p: T.normal_country(F.trim(p))), " AND ")
-    return rows.withColumns({"old_respondent": r, "respondent": F.when(T.is_multiple(F.col("_n")) & ~F.col("_n").isin(*T.KNOWN), each).otherwise(F.col("_n"))}).drop("_n")
+    last = F.trim(F.element_at(F.split("_n", " AND "), -1))
+    one = F.col("_n").contains(" AND ") & ~T.is_multiple(F.col("_n")) & last.isin(*T.KNOWN, *T.COUNTRIES)
+    rows = cases.withColumn("_n", T.normal_country(name)).withColumn("_n", F.when(one, last).otherwise(F.col("_n")))
+    return rows.withColumns({"old_respondent": r, "respondent": T.normal_country(F.col("_n"))}).drop("_n")
 
 
 def rename_log(cleaned: DataFrame) -> DataFrame:

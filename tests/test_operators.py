@@ -118,6 +118,22 @@ def test_stratified(spark):
     assert {r.respondent for r in got} == {"X", "W"} and len({r.item_id for r in got}) == 6 and len(got) == 12
 
 
+def test_respondents_with_and(spark):
+    rows = [("DOE AND RUSSIA", "x"), ("LEE AND UKRAINE", "x"), ("ARMENIA AND AZERBAIJAN", "x"), ("BOSNIA AND HERZEGOVINA", "x"), ("LEE AND THE NETHERLANDS", "x"), ("LEE AND NOBODY", "x"), ("FOO V. AND BAR", "A v. Italie"), (None, None), ("THE " + "X" * 2000, "x")]
+    got = [r.respondent for r in curate.clean_respondents(spark.createDataFrame(rows, "respondent string, case_name string")).collect()]
+    assert got[:6] == ["RUSSIA", "UKRAINE", "ARMENIA AND AZERBAIJAN", "BOSNIA AND HERZEGOVINA", "NETHERLANDS", "LEE AND NOBODY"]
+    assert got[7:] == [None, "THE " + "X" * 2000]
+
+
+def test_repairs_that_leave_too_little(spark):
+    long = "A sentence that stays. " * 200
+    rows = [("Short. Leak here.", ["Leak here."], "m", 100, False, None), (long + "Leak here.", ["Leak here."], "m", 9200, True, "before"), (long, None, "m", 4600, None, None), (None, [], None, None, None, None)]
+    got = curate.repaired(spark.createDataFrame(rows, "text_nv string, leaking_sentences array<string>, method string, original_length int, excluded boolean, exclusion_reason string")).collect()
+    assert got[0].text_nv == "Short. Leak here." and got[0].verdict_free_length == 17 and got[0].excluded and got[0].exclusion_reason == "too_short_after_repair"
+    assert got[1].text_nv == long.strip() and got[1].excluded and got[1].exclusion_reason == "before" and got[1].method.startswith("m; ") and abs(got[1].retention - 50) < 0.1
+    assert not got[2].excluded and got[2].method == "m" and got[3].excluded
+
+
 def test_repair():
     text = "First fact. " * 3 + "Leak here. The Court therefore concludes x. Tail."
     got, done = curate.repaired_text(text, ["Leak here.", "", "missing"])
