@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, int64s, partitions, small, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, int64s, partitions, passes, sieve, small, table
 
 DISTANCE = 2
 #: The least characters of lines that edits are sought of: each segment has one then.
@@ -44,10 +44,6 @@ LEAST_CHARS = DISTANCE + 1
 #: Lines that a task remembers to have sent before it starts afresh.
 MOST_KNOWN = 200_000
 
-#: Bits of the filter for each line that is wanted, the most bits that it has, and the shifts that give a line's places. A
-#: fuller filter lets more lines through, at worst all, which a join drops.
-SIEVE_BITS, MOST_SIEVE, SHIFTS = 16, 1 << 28, (0, 29)
-
 #: Pairs that are verified or formed at once.
 BLOCK = 20_000
 
@@ -346,30 +342,9 @@ def _verify(distance: int):
     return run
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``ids``, in bytes: SIEVE_BITS for each id and at most MOST_SIEVE, with two places for each id. A fuller
-    filter lets more ids through that aren't there; it never keeps back one that is."""
-    size = min(MOST_SIEVE, 1 << max(10, (ids.count() * SIEVE_BITS - 1).bit_length()))
-    # an id is a hash already, so its own bits, from two places, are as good as others
-    place = F.explode(F.array(*(F.shiftrightunsigned("id", k).bitwiseAND(F.lit(size - 1).cast("bigint")) for k in SHIFTS)))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("b"))
-    out = np.zeros(size // 8, np.uint8)
-    for table_ in words.toArrow().to_batches():
-        out[table_.column(0).to_numpy()] = table_.column(1).to_numpy()
-    return out
-
-
-def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out, u = np.ones(len(ids), bool), ids.view(np.uint64)
-    for k in SHIFTS:
-        p = (u >> np.uint64(k)) & np.uint64(8 * len(bits) - 1)
-        out &= (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    return out
-
-
 def _lines(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
     """(id, h2, line): the text of each line of ``wanted``, and of some others, a few times from each task at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(_sieve(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -381,7 +356,7 @@ def _lines(docs: DataFrame, least: int, wanted: DataFrame) -> DataFrame:
             for a, b in chunked(texts):
                 row, _, start, end, hashes, begins, _ = lines_of(texts[a:b], least)
                 ids, first = np.unique(hashes[:, 1], return_index=True)
-                maybe = _passes(bits, hashes[first, 0])
+                maybe = passes(bits, hashes[first, 0])
                 ids, first = ids[maybe], first[maybe]
                 fresh = [k for k, x in enumerate(ids.tolist()) if x not in known]
                 known.update(ids[fresh].tolist())

@@ -6,16 +6,17 @@ first, by ``doc_id`` and position, stays, and the sentences that any other cover
 passage is covered to both its ends by overlapping runs, however short its sentences are. A single sentence of
 ``LONG_WORDS`` words is a run too, and so is one of ``LEAST_WORDS`` that is the whole of its text. Phrases, headings and notices of fewer words than that are common property and stay.
 
-The first place of each run is found by an aggregation that combines before its shuffle, and runs that occur once end there;
-a join, which Spark splits where one run is very frequent, brings the others their first place.
+The first document of each run is found by an aggregation that combines before its shuffle, and runs that occur once end
+there. The others' hashes make a filter of bounded size; what it lets through joins with the first documents, and Spark splits
+that join where one run is very frequent. The filter lets some through that the join drops, and never keeps back a repeat.
 
 A sentence ends after . ! ? (or their full-width forms) before white space, at a line break, or with the text. Case
 and the kind of white space don't count.
 
 Cases: null or empty text, or one of fewer than ``LEAST_WORDS`` words, has no runs, so copies of it stay; rows of null ``doc_id`` are left out
 (and kept by ``without_repeats``); a repeat within a document counts, its first place stays; rows that share a
-``doc_id`` are one document, whose equal places aren't repeats of each other, and a sentence number removed is removed
-from all of them; texts of any length count whole; an empty table gives no rows; further columns are not read.
+``doc_id`` are one document, whose places in different rows aren't repeats of each other, and a sentence number removed is
+removed from all of them; texts of any length count whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum as tn
-from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, small, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, chunked, column, cut, passes, sieve, small, table
 
 RUN, LEAST_WORDS = 2, 20
 #: Words of a sentence that is a passage by itself.
@@ -84,15 +86,25 @@ def runs_of(texts: list, run: int = RUN, least_words: int = LEAST_WORDS, long_wo
 def repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, removed): for each document that loses any, the numbers of the sentences removed, from 0, in order."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            for row, first, last, h in runs_of(column(batch, "text"), run, least_words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "at", "upto", "h1", "h2"])
+    def hashed(bits):
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small(batches):
+                for row, first, last, h in runs_of(column(batch, "text"), run, least_words):
+                    # a run that the same text has before
+                    order = np.lexsort((first, h[:, 1], h[:, 0], row))
+                    again = np.zeros(len(row), bool)
+                    again[order[1:]] = np.all([x[order[1:]] == x[order[:-1]] for x in (row, h[:, 0], h[:, 1])], axis=0)
+                    keep = passes(bits.value, h[:, 0]) if bits else np.ones(len(row), bool)
+                    columns = [batch.column(0).take(pa.array(row[keep])), *(pa.array(x[keep]) for x in (first.astype(np.int32), last.astype(np.int32), h[:, 0], h[:, 1], again))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "upto", "h1", "h2", "again"])
+
+        return slim.mapInArrow(make, "doc_id bigint, at int, upto int, h1 bigint, h2 bigint, again boolean")
 
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null")
-    spans = slim.mapInArrow(hashed, "doc_id bigint, at int, upto int, h1 bigint, h2 bigint")
-    firsts = spans.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = spans.join(firsts, ["h1", "h2"]).where("struct(doc_id, at) <> first")
+    by = hashed(None).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("twice"))
+    firsts = cut(by.where("first <> last or twice").select("h1", "h2", "first"))
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(firsts.select(F.col("h1").alias("id"))))
+    later = hashed(bits).join(firsts, ["h1", "h2"]).where("doc_id <> first or again")
     return later.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "upto")), lambda x: F.sequence(x["at"], x["upto"]))))).alias("removed"))
 
 
@@ -118,8 +130,15 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def changed(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, removed, n_removed, text): the documents that lose sentences, with what is left of them."""
-    slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    lost = slim.join(repeats(docs, run, least_words), "doc_id").select("doc_id", "removed", F.size("removed").alias("n_removed"), "text")
+    gone = cut(repeats(docs, run, least_words))
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(gone.select(F.xxhash64("doc_id").alias("id"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, ids.to_numpy(np.int64)))
+
+    slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null").where(maybe(F.xxhash64("doc_id")))
+    lost = slim.join(gone, "doc_id").select("doc_id", "removed", F.size("removed").alias("n_removed"), "text")
     return lost.mapInArrow(_strip, "doc_id bigint, removed array<int>, n_removed int, text string")
 
 
