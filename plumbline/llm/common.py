@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1 << 18
 
 #: Bits of a sieve for each id in it, the most bits that it has, and the shifts that give an id's places.
-SIEVE_BITS, MOST_SIEVE, SHIFTS = 16, 1 << 28, (0, 29)
+SIEVE_BITS, MOST_SIEVE, SHIFTS = 8, 1 << 27, (0, 29)
 
 #: The columns of the documents table, which every filtering stage returns.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -81,21 +81,21 @@ def int64s(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def sieve(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``ids``, in bytes: SIEVE_BITS for each id and at most MOST_SIEVE, with two places for each id. A fuller
+    """A Bloom filter of ``ids``, in words of 64 bits: SIEVE_BITS for each id and at most MOST_SIEVE, with two places for each id. A fuller
     filter lets more ids through that aren't there; it never keeps back one that is."""
     size = min(MOST_SIEVE, 1 << max(10, (ids.count() * SIEVE_BITS - 1).bit_length()))
     # an id is a hash already, so its own bits, from two places, are as good as others
     place = F.explode(F.array(*(F.shiftrightunsigned("id", k).bitwiseAND(F.lit(size - 1).cast("bigint")) for k in SHIFTS)))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("b"))
-    out = np.zeros(size // 8, np.uint8)
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    out = np.zeros(size // 64, np.int64)
     for table_ in words.toArrow().to_batches():
         out[table_.column(0).to_numpy()] = table_.column(1).to_numpy()
     return out
 
 
 def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out, u = np.ones(len(ids), bool), ids.view(np.uint64)
+    out, u, words = np.ones(len(ids), bool), ids.view(np.uint64), bits.view(np.uint64)
     for k in SHIFTS:
-        p = (u >> np.uint64(k)) & np.uint64(8 * len(bits) - 1)
-        out &= (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        p = (u >> np.uint64(k)) & np.uint64(64 * len(words) - 1)
+        out &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
     return out

@@ -510,3 +510,13 @@ def test_components(spark):
     got = {x.id: x.least for x in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert all(got[k] == 0 for k in range(51)) and got[101] == 100
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_sieve(spark):
+    from plumbline.llm.common import passes, sieve
+
+    rng = np.random.default_rng(23)
+    ids, others = (rng.integers(-(2**63), 2**63 - 1, 3000) for _ in range(2))
+    bits = sieve(spark.createDataFrame([(int(x),) for x in ids], "id bigint"))
+    assert passes(bits, ids).all() and passes(bits, others).mean() < 0.2
+    assert not passes(sieve(spark.createDataFrame([], "id bigint")), others).any()
