@@ -4,9 +4,11 @@ A signature has 128 bits: each the sign of a sum over the document's distinct wo
 their counts. Signatures within 2 m - 1 bits, cut into m segments, agree in some segment but for one bit at most. So each
 segment is indexed once for each of its bits, with that bit left out; equal variants join, and the full distance is
 verified. The variants are made after the exchange, which moves a signature once for each third of a segment. Where more
-signatures come together than ``ROUTE_ROWS``, they are cut into blocks, and each two blocks meet in a task of their own. The
-search is exact: every pair within ``distance`` bits is found, once. Documents of equal signature take part
-once, by their least ``doc_id``; the pairs' connected components are the groups, whose least ``doc_id`` stays.
+signatures come together than ``ROUTE_ROWS``, they are cut into blocks, and each two blocks meet in a task of their own. Those
+that come together are sorted by the part that may differ, and its values that differ in a bit at most are compared in tiles, by
+the 64 bits outside the segment first. The search is exact: every pair within ``distance`` bits is found, once. Documents of equal
+signature take part once, by their least ``doc_id``; the pairs' connected components are the groups, whose least ``doc_id`` stays.
+A task passes on a spanning forest of its pairs, which has the same components, and no more pairs than signatures.
 
 Cases: a null or empty text, or one without a letter or digit, has no signature and is in no group; a null ``doc_id``
 can't be reported, so such rows are left out (and kept by ``deduplicated``); texts of any length count whole; ties in a
@@ -29,9 +31,12 @@ from plumbline.llm.components import components
 
 BITS, DISTANCE = 128, 17
 
-#: Parts of a segment by which signatures are brought together, rows that are matched at once, and pairs verified at once.
+#: Parts of a segment by which signatures are brought together, rows that are matched at once, and pairs that are held at once.
 PARTS, MEETING, PAIRS = 3, 50_000, 500_000
 
+#: Rows and columns of a tile, rows of a group of equal values that more bits aren't worth while for, and the most bits that tell groups apart.
+TILE, GROUP, GROUP_BITS = (64, 1024), 128, 8
+
 #: Rows of a block of those that come together.
 ROUTE_ROWS = 50_000
 
@@ -92,11 +97,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_signatures(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b), a < b: all pairs of ``distinct`` (id, hi, lo) within ``distance`` bits, each once.
+def near_signatures(distinct: DataFrame, distance: int = DISTANCE, spanning: bool = False) -> DataFrame:
+    """(a, b), a < b: all pairs of ``distinct`` (id, hi, lo) within ``distance`` bits, each once; if ``spanning``, a spanning
+    forest of those of each task, whose pairs needn't be near themselves.
 
     A variant whose wildcard is in one part of a segment has the other parts unchanged, so signatures are brought together
-    by these: a row for each part, not for each bit. Where they meet, the variants are made, matched and verified.
+    by these: a row for each part, not for each bit. Where they meet, they are matched and verified.
     """
     parts, edges = _layout(distance)
     fixed = [_halves(((1 << edges[k + 1]) - (1 << edges[k])) & ~((1 << b) - (1 << a))) for k, a, b in parts]
@@ -113,7 +119,7 @@ def near_signatures(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         met = other.withColumn("cross", F.col("own") != F.col("other")).withColumn("block", block).select(*met.columns)
     met = met.repartition("route", "block").sortWithinPartitions("route", "block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)])
@@ -125,60 +131,148 @@ def near_signatures(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield from _near([np.concatenate(x) for x in zip(*held)], parts, edges, distance)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _forests(pairs(batches)) if spanning else pairs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def _near(rows: list[np.ndarray], parts: list[tuple[int, int, int]], edges: list[int], distance: int) -> Iterator[pa.RecordBatch]:
+def _near(rows: list[np.ndarray], parts: list[tuple[int, int, int]], edges: list[int], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The near pairs among rows of whole blocks, each from the first segment that it agrees in but for one bit."""
-    part, ident, own_block, cross = rows[1].astype(np.int64), rows[2], rows[5], rows[6]
-    hi, lo, block = rows[3].view(np.uint64), rows[4].view(np.uint64), rows[7].astype(np.uint64)
-    segments = np.array([_halves((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:])], np.uint64)
     segment_of, begin, end = (np.array(x) for x in zip(*parts))
-    for j in range(int((end - begin).max())):
-        wild = [_halves(1 << (a + j)) if a + j < b else (0, 0) for _, a, b in parts]
-        which = np.flatnonzero((begin + j < end)[part])
-        if len(which) < 2:
-            continue
-        masks = segments[segment_of] & ~np.array(wild, np.uint64)
-        p = part[which]
-        key = tn.mix(tn.mix(hi[which] & masks[p, 0], j) ^ (lo[which] & masks[p, 1]) ^ (p.astype(np.uint64) << np.uint64(56)) ^ tn.mix(block[which], 3))
-        order = np.argsort(key, kind="stable")
-        which, key = which[order], key[order]
-        # each row meets those after it in its run of equal keys
-        edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
-        after = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(key)) - 1
-        upto, done = np.cumsum(after), 0
-        while done < len(key):
-            most = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS, "right")))
-            n = after[done:most]
-            x = np.repeat(which[done:most], n)
-            y = which[tn.gather(np.arange(done, most) + 1, n)]
-            done = most
-            due = (own_block[x] != own_block[y]) == cross[x]
-            x, y = x[due], y[due]
-            dh, dl = hi[x] ^ hi[y], lo[x] ^ lo[y]
-            good = np.flatnonzero(np.bitwise_count(dh).astype(np.int64) + np.bitwise_count(dl) <= distance)
-            x, y, dh, dl = x[good], y[good], dh[good], dl[good]
-            k = segment_of[part[x]]
-            errors = np.bitwise_count(dh[:, None] & segments[:, 0]).astype(np.int64) + np.bitwise_count(dl[:, None] & segments[:, 1])
-            # the wildcard is the bit that differs, or the segment's first if none does
-            bit = begin[part[x]] + j
-            masks_of = np.array(wild, np.uint64)[part[x]]
-            differs = ((dh & masks_of[:, 0]) | (dl & masks_of[:, 1])) != 0
-            own = errors[np.arange(len(x)), k]
-            first = (errors <= 1).argmax(1) == k
-            same = (block[x] == block[y]) & (cross[x] == cross[y])
-            keep = same & first & np.where(own == 0, bit == np.array(edges)[k], (own == 1) & differs) & (ident[x] != ident[y])
-            if keep.any():
-                a, b = ident[x[keep]], ident[y[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    segments = np.array([_halves((1 << b) - (1 << a)) for a, b in zip(edges[:-1], edges[1:])], np.uint64)
+    free = np.array([_halves((1 << b) - (1 << a)) for _, a, b in parts], np.uint64)
+    part, hi, lo, block = rows[1].astype(np.int64), rows[3].view(np.uint64), rows[4].view(np.uint64), rows[7].astype(np.uint64)
+    fixed = segments[segment_of[part]] & ~free[part]
+    key = tn.mix(hi & fixed[:, 0]) ^ tn.mix(lo & fixed[:, 1], 1) ^ tn.mix(part.astype(np.uint64), 2) ^ tn.mix(block, 3)
+    # the low bits tell the value of the part that may differ, or its highest bits
+    a, b = begin[part], end[part]
+    low = np.maximum(a, b - GROUP_BITS)
+    value = np.where(low < 64, hi >> np.minimum(low, 63).astype(np.uint64), lo >> (np.maximum(low, 64) - 64).astype(np.uint64))
+    value |= np.where((low < 64) & (b > 64), lo << np.clip(64 - low, 0, 63).astype(np.uint64), np.uint64(0))
+    width = b - low
+    value = (value & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))) << (GROUP_BITS - width).astype(np.uint64)
+    key = (key & ~np.uint64((1 << GROUP_BITS) - 1)) | value
+    order = np.argsort(key, kind="stable")
+    key, part, hi, lo, block = key[order], part[order], hi[order], lo[order], block[order]
+    ident, own_block, cross, width = rows[2][order], rows[5][order], rows[6][order], width[order]
+    bucket = key >> np.uint64(GROUP_BITS)
+    value = (key & np.uint64((1 << GROUP_BITS) - 1)).astype(np.int64)
+    edge = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(key))
+    some = np.flatnonzero(np.diff(edge) > 1)
+    tiles = _Tiles(distance)
+
+    def verified(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        due = ((own_block[x] != own_block[y]) == cross[x]) & (part[x] == part[y]) & (block[x] == block[y]) & (cross[x] == cross[y]) & (ident[x] != ident[y])
+        x, y = x[due], y[due]
+        dh, dl = hi[x] ^ hi[y], lo[x] ^ lo[y]
+        errors = np.bitwise_count(dh[:, None] & segments[:, 0]).astype(np.int64) + np.bitwise_count(dl[:, None] & segments[:, 1])
+        p = part[x]
+        k = segment_of[p]
+        # the wildcard is the bit that differs, or in the segment's first part if none does
+        differs = ((dh & free[p, 0]) | (dl & free[p, 1])) != 0
+        own = errors[np.arange(len(x)), k]
+        keep = ((errors <= 1).argmax(1) == k) & np.where(own == 0, begin[p] == np.array(edges)[k], (own == 1) & differs)
+        u, v = ident[x[keep]], ident[y[keep]]
+        return np.minimum(u, v), np.maximum(u, v)
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for s, e in zip(edge[some].tolist(), edge[some + 1].tolist()):
+        p = int(part[s])
+        first, second = (lo, hi) if edges[segment_of[p]] + edges[segment_of[p] + 1] < BITS else (hi, lo)
+        bits = min(int(width[s]), ((e - s) // GROUP).bit_length())
+        if bits:
+            at = (s + np.searchsorted(value[s:e], np.arange((1 << bits) + 1) << (GROUP_BITS - bits))).tolist()
+            areas = [(at[v], at[v + 1], at[w], at[w + 1]) for v in range(1 << bits) for w in (v, *(v | 1 << j for j in range(bits) if not v >> j & 1))]
+        else:
+            areas = [(s, e, s, e)]
+        for area in areas:
+            for x, y in tiles(first, second, *area):
+                found.append((x, y))
+                held += len(x)
+                if held >= PAIRS:
+                    yield verified(*(np.concatenate(z) for z in zip(*found)))
+                    found, held = [], 0
+    if found:
+        yield verified(*(np.concatenate(z) for z in zip(*found)))
+
+
+class _Tiles:
+    """Compares rows with rows, a tile at a time."""
+
+    def __init__(self, distance: int):
+        self.distance = distance
+        size = TILE[0] * TILE[1]
+        self.differ, self.count, self.near = np.empty(size, np.uint64), np.empty(size, np.uint8), np.empty(size, bool)
+
+    def __call__(self, first: np.ndarray, second: np.ndarray, a: int, b: int, c: int, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a row of [a, b) and one of [c, d) within the distance, or where both are the same range, each two of it."""
+        for r in range(a, b, TILE[0]):
+            n = min(TILE[0], b - r)
+            for q in range(r if a == c else c, d, TILE[1]):
+                m = min(TILE[1], d - q)
+                size = n * m
+                differ, count = self.differ[:size].reshape(n, m), self.count[:size]
+                np.bitwise_xor(first[r : r + n, None], first[q : q + m], out=differ)
+                np.bitwise_count(self.differ[:size], out=count)
+                np.less_equal(count, self.distance, out=self.near[:size])
+                whole = -(-size // 8)
+                self.near[size : 8 * whole] = False
+                # eight at once, as few are near
+                eight = np.flatnonzero(self.near[: 8 * whole].view(np.uint64))
+                if not len(eight):
+                    continue
+                one, place = np.nonzero(self.near.reshape(-1, 8)[eight])
+                at = eight[one] * 8 + place
+                x, y = r + at // m, q + at % m
+                good = count[at] + np.bitwise_count(second[x] ^ second[y]) <= self.distance
+                if a == c:
+                    good &= y > x
+                if good.any():
+                    yield x[good], y[good]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id of the pairs but the least of its component, with that least one before it."""
+    ids, which = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = which[: len(a)], which[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        u, v = label[x], label[y]
+        apart = u != v
+        if not apart.any():
+            break
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        # labels are those of themselves here, so the greater one's whole tree goes over to the lesser
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+    rest = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[rest]], ids[rest]
+
+
+def _forests(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs with the same components, at most PAIRS held at once beside those that come."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in pairs:
+        held.append(pair)
+        if sum(len(a) for a, _ in held) >= PAIRS:
+            a, b = _forest(*(np.concatenate(z) for z in zip(*held)))
+            held = [(a, b)]
+            if len(a) >= PAIRS // 2:
+                yield a, b
+                held = []
+    if held:
+        yield _forest(*(np.concatenate(z) for z in zip(*held)))
 
 
 def groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, group_id, group_size, keep): every document of a group of two or more; group_id is the one that stays."""
     signed = cut(signatures(docs).distinct())
     distinct = cut(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    linked = components(near_signatures(distinct.select("id", "hi", "lo"), distance))
+    linked = components(near_signatures(distinct.select("id", "hi", "lo"), distance, spanning=True))
     group = distinct.join(linked, "id", "left").select("hi", "lo", "n", F.coalesce("least", "id").alias("group_id"))
     sizes = group.groupBy("group_id").agg(F.sum("n").alias("group_size")).where("group_size > 1")
     known = group.join(sizes, "group_id").select("hi", "lo", "group_id", "group_size")

@@ -472,6 +472,32 @@ def test_near_signatures(spark, monkeypatch, distance, rows_of_block):
     assert len(got) == len(set(got)) and set(got) == near_by_hand(rows, distance)
 
 
+def test_near_signatures_that_come_together_in_hundreds(spark):
+    """Groups of values and tiles, all pairs and spanning ones."""
+    r = np.random.default_rng(3)
+    bits = np.concatenate([r.random((1500, 64)) < 0.1, r.random((1500, 64)) < 0.17], axis=1)
+    halves = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    df = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(halves)], "id bigint, hi bigint, lo bigint")
+    want = near_by_hand([(k, int.from_bytes(x.tobytes(), "little")) for k, x in enumerate(halves)], 17)
+    got = [(x.a, x.b) for x in simhash.near_signatures(df, 17).collect()]
+    assert len(want) > 1500 and len(got) == len(set(got)) and set(got) == want
+    spanning = simhash.near_signatures(df, 17, spanning=True)
+    assert spanning.count() < len(want)
+    assert {tuple(x) for x in components(spanning).collect()} == {tuple(x) for x in components(spark.createDataFrame(sorted(want), "a bigint, b bigint")).collect()}
+
+
+def test_many_copies_that_all_differ(spark, monkeypatch):
+    """1,000 near copies of a text give about as many pairs to the components, not half a million."""
+    seen = []
+    monkeypatch.setattr(simhash, "components", lambda pairs: seen.append(pairs.count()) or components(pairs))
+    r = random.Random(23)
+    base = [prose(r, 1) + str(k) for k in range(400)]
+    texts = [" ".join(base[:j] + [f"own{k}"] + base[j + 1 :]) for k in range(1000) for j in [r.randrange(400)]]
+    got = simhash.groups(docs(spark, texts)).collect()
+    assert len(got) == 1000 and {(x.group_id, x.group_size) for x in got} == {(0, 1000)}
+    assert seen[0] <= 4 * 1000
+
+
 def test_signatures_by_hand():
     """Signs of weighted sums over distinct words, ties included."""
     from plumbline.llm import textnum as tn
