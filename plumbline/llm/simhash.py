@@ -1,7 +1,7 @@
 """Near duplicates by SimHash signatures and one-wildcard variants of their segments.
 
 A signature has 128 bits: each the sign of a sum over the document's distinct words, weighted with the fourth root of
-their counts. Signatures within 2 m - 1 bits, cut into m segments, agree in some segment but for one bit at most. So each
+their counts, to 20 binary places so that sums are exact. Signatures within 2 m - 1 bits, cut into m segments, agree in some segment but for one bit at most. So each
 segment is indexed once for each of its bits, with that bit left out; equal variants join, and the full distance is
 verified. The variants are made after the exchange, which moves a signature once for each third of a segment. Where more
 signatures come together than ``ROUTE_ROWS``, they are cut into blocks, and each two blocks meet in a task of their own. Those
@@ -31,6 +31,9 @@ from plumbline.llm.components import components
 
 BITS, DISTANCE = 128, 17
 
+#: The weight of a word that occurs once. Weights are whole numbers, whose sums are exact in any order.
+WEIGHT = 1 << 20
+
 #: Parts of a segment by which signatures are brought together, rows that are matched at once, and pairs that are held at once.
 PARTS, MEETING, PAIRS = 3, 50_000, 500_000
 
@@ -54,11 +57,14 @@ def signatures_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
         key = key[first]
         row = (key >> np.uint64(40)).astype(np.int64)
         word = key & np.uint64((1 << 40) - 1)
-        weight = np.sqrt(np.sqrt(count)).astype(np.float32)
+        weight = np.rint(np.sqrt(np.sqrt(count)) * WEIGHT)
         bits = np.unpackbits(np.column_stack((tn.mix(word, 1), tn.mix(word, 2))).view(np.uint8), axis=1, bitorder="little")
         begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
         total = np.add.reduceat(weight, begin)
-        sums = np.add.reduceat(bits * weight[:, None], begin, axis=0)
+        sums = np.empty((len(begin), BITS))
+        # a sum for each text, as reduceat goes down the columns, which takes several times as long
+        for k, (x, y) in enumerate(zip(begin.tolist(), begin[1:].tolist() + [len(row)])):
+            np.add.reduce(bits[x:y] * weight[x:y, None], axis=0, out=sums[k])
         sign = np.packbits(sums * 2 >= total[:, None], axis=1, bitorder="little").view(np.int64)
         rows.append(row[begin] + a)
         halves.append(sign)

@@ -521,6 +521,27 @@ def test_signatures_by_hand():
         assert got.tolist() == want
 
 
+def test_signatures_with_ties():
+    """Equal weights on both sides give 1, in whatever order they are added up."""
+    from plumbline.llm import textnum as tn
+
+    r = random.Random(29)
+    texts, counts = [], []
+    for _ in range(300):
+        counts.append({f"w{r.randrange(10**6)}": c for c in 2 * [r.randint(2, 5) for _ in range(r.randint(2, 5))]})
+        texts.append(" ".join(w for w, c in counts[-1].items() for _ in range(c)))
+    rows, halves = simhash.signatures_of(texts)
+    assert rows.tolist() == list(range(300))
+    for own, got in zip(counts, halves.view(np.uint64).tolist()):
+        hashes = {w: tn.words([w])[3] >> np.uint64(24) for w in own}
+        mixed = {w: [int(tn.mix(h, half)[0]) for half in (1, 2)] for w, h in hashes.items()}
+        for half in (0, 1):
+            for b in range(64):
+                ones, zeros = (sorted(c for w, c in own.items() if (mixed[w][half] >> b & 1) == side) for side in (1, 0))
+                want = ones == zeros or sum(c**0.25 for c in ones) > sum(c**0.25 for c in zeros)
+                assert got[half] >> b & 1 == want
+
+
 def test_simhash_groups(spark):
     r = random.Random(9)
     base = [prose(r, 12) + " " + " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(10)]
